@@ -34,7 +34,8 @@ def sql_greatest(*cols) -> Column:
 
 def clamp(col, low: float, high: float) -> Column:
     """Keep a value inside [low, high]; NULL stays NULL."""
-    return sql_least(sql_greatest(col, F.lit(low)), F.lit(high))
+    col = as_col(col)
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
 
 
 def ratio(num, den) -> Column:

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import as_col, start_year
 
-# One partition holds one school's years, so it is as small as the number of
-# years, and every operator that uses this spec shares one exchange.
-BY_SCHOOL = Window.partitionBy("school_id").orderBy("academic_year")
+
+def by_school():
+    """A school's rows in year order.
+
+    One partition holds one school's years, so it is as small as the number of
+    years, and every operator that uses this spec shares one exchange.
+    """
+    return Window.partitionBy("school_id").orderBy("academic_year")
 
 
 def previous(col, steps: int = 1, calendar_adjacent: bool = False) -> Column:
@@ -18,10 +23,10 @@ def previous(col, steps: int = 1, calendar_adjacent: bool = False) -> Column:
     "Earlier" is the previous available row. With `calendar_adjacent` the row
     must also lie exactly `steps` years back, otherwise the result is NULL.
     """
-    value = F.lag(as_col(col), steps).over(BY_SCHOOL)
+    value = F.lag(as_col(col), steps).over(by_school())
     if not calendar_adjacent:
         return value
-    back = start_year(F.lag("academic_year", steps).over(BY_SCHOOL))
+    back = start_year(F.lag("academic_year", steps).over(by_school()))
     return F.when(start_year("academic_year") - back == steps, value)
 
 

@@ -151,12 +151,9 @@ def longitudinal(files: dict[str, DataFrame]) -> DataFrame:
     return drop_null_columns(assemble_master(files))[0]
 
 
-def quality_audit(master: DataFrame, class_columns: list[str] | None = None) -> DataFrame:
-    """Data-quality figures, one row per year."""
+def quality_audit(master: DataFrame, class_columns: list[str]) -> DataFrame:
+    """Data-quality figures, one row per year; `class_columns` are the enrolment cells by class."""
     cells = [c for c in master.columns if c not in KEYS]
-    class_columns = class_columns or [
-        c for c in master.columns if c.endswith(("_b", "_g")) and not c.startswith("total_")
-    ]
     same_age = F.col("total_enrolment") == F.col("total_enrolment_age") if "total_enrolment_age" in cells else F.lit(False)
     null_cells = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in cells])
     return master.groupBy("year").agg(

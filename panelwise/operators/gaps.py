@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.functions.exprs import as_col, count_if, ratio, round_half_away, sql_greatest
+from panelwise.functions.exprs import as_col, count_if, ratio, round_half_away
 from panelwise.functions.norms import norm
 from panelwise.functions.windows import has, only, top
 
@@ -17,7 +17,8 @@ def norm_requirement(demand, norm_col):
 
 def shortfall(required, capacity):
     """max(required - capacity, 0); unknown capacity counts as 0, unknown requirement stays NULL."""
-    return sql_greatest(as_col(required) - F.coalesce(as_col(capacity), F.lit(0)), F.lit(0))
+    required = as_col(required)
+    return required - F.least(required, F.coalesce(as_col(capacity), F.lit(0)))
 
 
 def with_room_gap(facts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import clamp, ratio
 from panelwise.functions.norms import DEFAULT_CATEGORY
-from panelwise.functions.windows import BY_SCHOOL, in_year, only, previous
+from panelwise.functions.windows import by_school, in_year, only, previous
 from panelwise.operators.forecast import (
     GROWTH_CAP,
     HORIZONS,
@@ -107,8 +107,8 @@ def feature_panel(scored: DataFrame) -> DataFrame:
     cur, lag1 = F.col("total_enrolment"), F.col("enrolment_lag1")
     base = F.greatest(lag1, F.lit(1))
     size = F.greatest(cur, F.lit(1))
-    last3 = BY_SCHOOL.rowsBetween(-2, Window.currentRow)
-    next_value = F.lead("total_enrolment").over(BY_SCHOOL)
+    last3 = by_school().rowsBetween(-2, Window.currentRow)
+    next_value = F.lead("total_enrolment").over(by_school())
 
     def capped(col) -> Column:
         return clamp(col, -GROWTH_CAP, GROWTH_CAP)
@@ -123,7 +123,7 @@ def feature_panel(scored: DataFrame) -> DataFrame:
                 "enrolment_3yr_mean": F.avg("total_enrolment").over(last3),
                 "_spread": F.stddev_samp("total_enrolment").over(last3),
                 "target_enrolment": next_value,
-                "target_year": F.lead("academic_year").over(BY_SCHOOL),
+                "target_year": F.lead("academic_year").over(by_school()),
                 "district_code": label_code(df, "district"),
                 "management_code": label_code(df, "management_type"),
             }

@@ -44,12 +44,9 @@ REQUEST_RANGE = (0, 100)
 
 
 def decision_of(reason: Column) -> Column:
-    """Decision status of a reason code."""
-    by_status: dict[str, list[str]] = {}
-    for code, status in DECISION.items():
-        by_status.setdefault(status, []).append(code)
-    pairs = [(reason.isin(codes), F.lit(status)) for status, codes in by_status.items()]
-    return reduce(lambda other, p: F.when(p[0], p[1]).otherwise(other), pairs, F.lit(None).cast("string"))
+    """Decision status of a reason code, by lookup."""
+    pairs = [F.lit(v) for pair in DECISION.items() for v in pair]
+    return F.try_element_at(F.create_map(*pairs), reason)
 
 
 def first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:
@@ -60,7 +57,8 @@ def first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:
 
 
 def positive(gap: str) -> Column:
-    return F.when(F.col(gap) > 0, F.col(gap)).otherwise(F.lit(0))
+    """The gap where there is one, else 0."""
+    return F.greatest(F.coalesce(F.col(gap), F.lit(0)), F.lit(0))
 
 
 # --- batch ---------------------------------------------------------------------
@@ -112,23 +110,34 @@ def judge_batch(requests: DataFrame) -> DataFrame:
     ]
     rules += [((F.col("requested_classrooms") == 0) & (F.col("requested_teachers") == 0), "NO_REQUEST")]
 
-    def share(req: str, gap: str) -> Column:
-        return ratio(req, positive(gap))
-
     off = reduce(
-        lambda a, b: a + b,
-        [F.abs(F.lit(1.0) - F.coalesce(share(req, gap), F.lit(1.0))) for _, req, gap in sides],
+        lambda a, b: a + b, [F.abs(F.lit(1.0) - F.coalesce(c, F.lit(1.0))) for c in ("_rooms", "_teachers")]
+    )
+    return (
+        requests.withColumns(
+            {
+                "actual_classroom_gap": positive("classroom_gap"),
+                "actual_teacher_gap": positive("teacher_gap"),
+                "reason_code": first_match(rules, "WITHIN_TOLERANCE"),
+            }
+        )
+        .withColumns(
+            {
+                "_rooms": ratio("requested_classrooms", "actual_classroom_gap"),
+                "_teachers": ratio("requested_teachers", "actual_teacher_gap"),
+                "decision_status": decision_of(F.col("reason_code")),
+            }
+        )
+        .withColumn("_confidence", F.greatest(F.lit(0.0), F.lit(1.0) - off / 2.0))
+        .withColumns(
+            {
+                "classroom_ratio": round_half_away("_rooms", 4),
+                "teacher_ratio": round_half_away("_teachers", 4),
+                "confidence_score": round_half_away("_confidence", 4),
+            }
+        )
+        .drop("_rooms", "_teachers", "_confidence")
     )
-    return requests.withColumns(
-        {
-            "actual_classroom_gap": positive("classroom_gap"),
-            "actual_teacher_gap": positive("teacher_gap"),
-            "classroom_ratio": round_half_away(share("requested_classrooms", "classroom_gap"), 4),
-            "teacher_ratio": round_half_away(share("requested_teachers", "teacher_gap"), 4),
-            "reason_code": first_match(rules, "WITHIN_TOLERANCE"),
-            "confidence_score": round_half_away(F.greatest(F.lit(0.0), F.lit(1.0) - off / 2.0), 4),
-        }
-    ).withColumn("decision_status", decision_of(F.col("reason_code")))
 
 
 def validation_table(gapped: DataFrame, hash_method: str = "crc32") -> DataFrame:
@@ -233,17 +242,17 @@ def judge_submissions(submissions: DataFrame, gapped: DataFrame) -> DataFrame:
     cr, tr = F.col("classrooms_requested"), F.col("teachers_requested")
     cr_gap, tr_gap = F.col("classroom_gap"), F.col("teacher_gap")
 
-    # Division is only kept where a gap exists; a request without a gap exceeds every bound.
+    # A ratio exists where there is a gap; a request without a gap exceeds every bound.
     def share(req: Column, gap: Column) -> Column:
         return F.when(gap > 0, ratio(req, gap)).when(req == 0, F.lit(0.0))
 
-    cr_share, tr_share = share(cr, cr_gap), share(tr, tr_gap)
-    unmet = lambda req, gap: (gap <= 0) & (req > 0)
+    cr_share, tr_share = F.col("classroom_ratio"), F.col("teacher_ratio")
+    cr_unmet, tr_unmet = (cr_gap <= 0) & (cr > 0), (tr_gap <= 0) & (tr > 0)
     rules = [
         (F.col("_found").isNull(), "SCHOOL_NOT_FOUND"),
         ((cr_gap == 0) & (tr_gap == 0) & ((cr > 0) | (tr > 0)), "NO_DEFICIT"),
-        ((cr_share > OVER) | unmet(cr, cr_gap), "CLASSROOM_OVER_REQUEST"),
-        ((tr_share > OVER) | unmet(tr, tr_gap), "TEACHER_OVER_REQUEST"),
+        ((cr_share > OVER) | cr_unmet, "CLASSROOM_OVER_REQUEST"),
+        ((tr_share > OVER) | tr_unmet, "TEACHER_OVER_REQUEST"),
         (cr_share.between(MODERATE, OVER), "CLASSROOM_MODERATE_OVER"),
         (tr_share.between(MODERATE, OVER), "TEACHER_MODERATE_OVER"),
         ((cr_share < UNDER) & (cr_gap > 0), "CLASSROOM_UNDER_REQUEST"),
@@ -251,17 +260,25 @@ def judge_submissions(submissions: DataFrame, gapped: DataFrame) -> DataFrame:
         ((cr == 0) & (tr == 0) & (cr_gap == 0) & (tr_gap == 0), "NO_REQUEST"),
     ]
     close = F.lit(1.0) - F.abs(cr_share - 1.0) * 0.5 - F.abs(tr_share - 1.0) * 0.5
-    confidence = round_half_away(F.greatest(F.lit(0.0), F.least(F.lit(1.0), close)), 3)
+    confidence = round_half_away("_close", 3)
     for reason, value in SUBMISSION_CONFIDENCE.items():
         confidence = F.when(F.col("reason_code") == reason, F.lit(value)).otherwise(confidence)
     found = F.col("_found").isNotNull()
     return (
-        joined.withColumn("reason_code", first_match(rules, "WITHIN_TOLERANCE"))
-        .withColumn("decision_status", decision_of(F.col("reason_code")))
-        .withColumn("confidence_score", confidence)
-        .withColumn("classroom_ratio", F.when(found, cr_share))
-        .withColumn("teacher_ratio", F.when(found, tr_share))
-        .drop("_found")
+        joined.withColumns(
+            {
+                "classroom_ratio": F.when(found, share(cr, cr_gap)),
+                "teacher_ratio": F.when(found, share(tr, tr_gap)),
+            }
+        )
+        .withColumns(
+            {
+                "reason_code": first_match(rules, "WITHIN_TOLERANCE"),
+                "_close": F.greatest(F.lit(0.0), F.least(F.lit(1.0), close)),
+            }
+        )
+        .withColumns({"decision_status": decision_of(F.col("reason_code")), "confidence_score": confidence})
+        .drop("_found", "_close")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import count_if, round_half_away
-from panelwise.functions.windows import BY_SCHOOL, only, top
+from panelwise.functions.windows import by_school, only, top
 from panelwise.operators.ranking import consecutive_high
 
 
@@ -27,8 +27,8 @@ def with_trend(scored: DataFrame, model: TrendModel = TrendModel()) -> DataFrame
     Rows without a score are looked past, not counted: the previous score is
     that of the last scored row. All windows share the school partitioning.
     """
-    past = BY_SCHOOL.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = BY_SCHOOL.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = by_school().rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_school().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scored_row = F.col("risk_score").isNotNull()
 
     def last_scored(col):

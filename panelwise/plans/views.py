@@ -13,8 +13,9 @@ from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_h
 from panelwise.functions.windows import in_year, only, top, top_per
 from panelwise.operators.risk import LEVELS, level_counts
 
-N = F.count(F.lit(1))
-BLOCK = F.coalesce("block", F.lit("UNKNOWN")).alias("block")
+
+def rows_count() -> Column:
+    return F.count(F.lit(1))
 
 
 def pick(df: DataFrame, **values) -> DataFrame:
@@ -26,7 +27,7 @@ def pick(df: DataFrame, **values) -> DataFrame:
 
 
 def _blocks(report: DataFrame) -> DataFrame:
-    return only(report, "has_school").withColumn("block", BLOCK)
+    return only(report, "has_school").withColumn("block", F.coalesce("block", F.lit("UNKNOWN")))
 
 
 def _kpis() -> list[Column]:
@@ -39,11 +40,15 @@ def _kpis() -> list[Column]:
     ]
 
 
-_ROOMS, _TEACHERS = F.col("classroom_resolved") == 1, F.col("teacher_resolved") == 1
+def resolved() -> tuple[Column, Column, Column]:
+    """(both gaps resolved, at least one, neither)"""
+    rooms, teachers = F.col("classroom_resolved") == 1, F.col("teacher_resolved") == 1
+    return rooms & teachers, rooms | teachers, ~rooms & ~teachers
 
 
 def funding_status(partly: str) -> Column:
-    return F.when(_ROOMS & _TEACHERS, "FUNDED").when(_ROOMS | _TEACHERS, partly).otherwise("UNFUNDED")
+    both, either, _ = resolved()
+    return F.when(both, "FUNDED").when(either, partly).otherwise("UNFUNDED")
 
 
 # --- state ----------------------------------------------------------------------
@@ -60,11 +65,11 @@ def state_kpis(report: DataFrame, year: str | None = None) -> DataFrame:
 
 def state_budget(report: DataFrame, year: str | None = None) -> DataFrame:
     """Funded, partial and unfunded schools with allocated totals."""
-    both, either = _ROOMS & _TEACHERS, _ROOMS | _TEACHERS
+    both, either, neither = resolved()
     return in_year(report, year).agg(
         count_if(both).alias("funded"),
         count_if(either & ~both).alias("partial"),
-        count_if(~_ROOMS & ~_TEACHERS).alias("unfunded"),
+        count_if(neither).alias("unfunded"),
         F.sum("classrooms_allocated").alias("total_classrooms_allocated"),
         F.sum("teachers_allocated").alias("total_teachers_allocated"),
     )
@@ -91,7 +96,7 @@ def available_years(report: DataFrame) -> DataFrame:
 def risk_by_year(report: DataFrame) -> DataFrame:
     return (
         report.groupBy("academic_year")
-        .agg(round_half_away(exact_mean("risk_score"), 4).alias("avg_risk"), *level_counts(), N.alias("total"))
+        .agg(round_half_away(exact_mean("risk_score"), 4).alias("avg_risk"), *level_counts(), rows_count().alias("total"))
         .orderBy("academic_year")
     )
 
@@ -110,18 +115,18 @@ def enrolment_by_year(report: DataFrame) -> DataFrame:
 def allocation_by_status(report: DataFrame, year: str | None = None) -> DataFrame:
     rows = in_year(report, year).where(F.col("allocation_priority").isNotNull())
     return rows.groupBy(funding_status("PARTIALLY_FUNDED").alias("allocation_status")).agg(
-        N.alias("count"),
+        rows_count().alias("count"),
         F.sum("classrooms_allocated").alias("classrooms"),
         F.sum("teachers_allocated").alias("teachers"),
     )
 
 
 def top_unfunded_districts(report: DataFrame, year: str | None = None, k: int = 10) -> DataFrame:
-    rows = only(in_year(report, year), "has_school").where(~_ROOMS & ~_TEACHERS)
+    rows = only(in_year(report, year), "has_school").where(resolved()[2])
     totals = rows.groupBy("district").agg(
         F.sum(F.col("classroom_gap") - F.col("classrooms_allocated")).alias("unfunded_cr_gap"),
         F.sum(F.col("teacher_gap") - F.col("teachers_allocated")).alias("unfunded_tr_gap"),
-        N.alias("schools"),
+        rows_count().alias("schools"),
     )
     return top(totals, k, F.desc("unfunded_cr_gap"), "district")
 
@@ -161,7 +166,7 @@ def block_heatmap(report: DataFrame, district: str | None = None, year: str | No
     """Blocks x risk levels with fixed level columns and a total over all rows."""
     rows = pick(_blocks(in_year(report, year)), district=district)
     return rows.groupBy("district", "block").agg(
-        *[count_if(F.col("risk_level") == v).alias(v) for v in LEVELS], N.alias("total")
+        *[count_if(F.col("risk_level") == v).alias(v) for v in LEVELS], rows_count().alias("total")
     )
 
 
@@ -190,7 +195,7 @@ def priority_schools(report: DataFrame, district: str | None = None, year: str |
 
 
 def decision_counts(judged: DataFrame, district: str | None = None, year: str | None = None) -> DataFrame:
-    return pick(in_year(judged, year), district=district).groupBy("district", "decision_status").agg(N.alias("count"))
+    return pick(in_year(judged, year), district=district).groupBy("district", "decision_status").agg(rows_count().alias("count"))
 
 
 def flagged_requests(judged: DataFrame, district: str | None = None, year: str | None = None, k: int = 30) -> DataFrame:
@@ -223,7 +228,7 @@ def block_kpis(
 ) -> DataFrame:
     """KPIs per block, with the number of fully funded schools."""
     rows = pick(_blocks(in_year(report, year)), district=district, block=block)
-    return rows.groupBy("district", "block").agg(*_kpis(), count_if(_ROOMS & _TEACHERS).alias("funded_count"))
+    return rows.groupBy("district", "block").agg(*_kpis(), count_if(resolved()[0]).alias("funded_count"))
 
 
 def block_schools(
@@ -468,7 +473,7 @@ def gap_rows(report: DataFrame, school_id: str | None = None) -> DataFrame:
 def state_index(index: DataFrame) -> DataFrame:
     """Mean of the district index per year."""
     return index.groupBy("academic_year").agg(
-        round_half_away(exact_mean("avg_risk_score"), 4).alias("state_risk"), N.alias("districts")
+        round_half_away(exact_mean("avg_risk_score"), 4).alias("state_risk"), rows_count().alias("districts")
     )
 
 
@@ -477,7 +482,7 @@ def critical_blocks(report: DataFrame, year: str | None = None, k: int = 10) ->
     shares = (
         _blocks(in_year(report, year))
         .groupBy("district", "block")
-        .agg(count_if(F.col("risk_level") == "CRITICAL").alias("critical"), N.alias("total"))
+        .agg(count_if(F.col("risk_level") == "CRITICAL").alias("critical"), rows_count().alias("total"))
         .withColumn("critical_share_pct", pct("critical", "total", 2))
     )
     return top(shares, k, F.desc("critical_share_pct"), "district", "block")
@@ -496,7 +501,7 @@ def growing_gap_warnings(report: DataFrame, forecast: DataFrame, horizon: int =
 
 def block_level_shares(report: DataFrame, year: str | None = None) -> DataFrame:
     """Distribution of levels per block in percent."""
-    rows = _blocks(in_year(report, year)).groupBy("district", "block").agg(*level_counts(), N.alias("total"))
+    rows = _blocks(in_year(report, year)).groupBy("district", "block").agg(*level_counts(), rows_count().alias("total"))
     return rows.select(
         "district", "block", "total", *[pct(v.lower(), "total", 2).alias(f"{v.lower()}_pct") for v in LEVELS]
     )
