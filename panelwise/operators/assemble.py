@@ -146,9 +146,14 @@ def assemble_master(files: dict[str, DataFrame], keys: list[str] = KEYS) -> Data
     return reduce(lambda a, b: join_left_suffixed(a, b, keys), parts)
 
 
-def longitudinal(files: dict[str, DataFrame]) -> DataFrame:
-    """The longitudinal panel without its empty columns."""
-    return drop_null_columns(assemble_master(files))[0]
+def longitudinal(files: dict[str, DataFrame], stage=lambda df: df) -> DataFrame:
+    """The longitudinal panel without its empty columns.
+
+    Which columns are empty is known only after the joins. `stage` may publish
+    the joined rows so that the check and the result read them instead of
+    joining twice.
+    """
+    return drop_null_columns(stage(assemble_master(files)))[0]
 
 
 def quality_audit(master: DataFrame, class_columns: list[str]) -> DataFrame:

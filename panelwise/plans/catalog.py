@@ -72,12 +72,21 @@ def facts_of(spark: SparkSession, sf: str) -> DataFrame:
     return standin.facts(spark, sf)
 
 
+def by_year(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table published once by academic year and read from there."""
+    return standin.published(spark, sf, name, build, ["academic_year"])
+
+
 def scored_of(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(facts_of(spark, sf))
+    """The published risk table, which every later step starts from."""
+    return by_year(spark, sf, "scored", lambda: scored(facts_of(spark, sf)))
 
 
 def report_of(spark: SparkSession, sf: str) -> DataFrame:
-    return standin.published(spark, sf, "report", lambda: report(facts_of(spark, sf)), ["academic_year"])
+    def build():
+        return report(facts_of(spark, sf), lambda name, df: by_year(spark, sf, name, lambda: df))
+
+    return by_year(spark, sf, "report", build)
 
 
 def judged_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +96,7 @@ def judged_of(spark: SparkSession, sf: str) -> DataFrame:
         gapped = gaps.with_gaps(facts_of(spark, sf))
         return proposals.perturbed_requests(gapped, "md5").transform(proposals.judge_batch)
 
-    return standin.published(spark, sf, "validation", build, ["academic_year"])
+    return by_year(spark, sf, "validation", build)
 
 
 def features_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,8 +144,9 @@ def prepared_raw(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 def master_of(spark: SparkSession, sf: str) -> DataFrame:
     """The longitudinal panel, assembled from the raw files and published."""
-    return standin.published(
-        spark, sf, "longitudinal", lambda: assemble.longitudinal(prepared_raw(spark, sf)), ["year"]
+    files = prepared_raw(spark, sf)
+    return assemble.longitudinal(
+        files, lambda df: standin.published(spark, sf, "assembled", lambda: df, ["year"])
     )
 
 
@@ -231,7 +241,7 @@ MASTER_COLUMNS = [
 
 @query("longitudinal_panel", MASTER_SQL, "panel", "schools", "enrolment")
 def _(spark, sf):
-    return assemble.longitudinal(prepared_raw(spark, sf)).select(*MASTER_COLUMNS)
+    return master_of(spark, sf).select(*MASTER_COLUMNS)
 
 
 @query(
@@ -247,7 +257,12 @@ FROM panel p JOIN schools s USING (school_id) LEFT JOIN enrolment e ON e.school_
 def _(spark, sf):
     root = raw_csv_of(spark, sf)
     years = raw.list_years(spark, f"{root}/profile_1")
-    return assemble.longitudinal(raw.read_all_years(spark, root, years, CSV_LAYOUT)).select(
+    files = raw.read_all_years(spark, root, years, CSV_LAYOUT)
+
+    def stage(df):
+        return store.publish(df, store.new_path(spark, "assembled"), ["year"])
+
+    return assemble.longitudinal(files, stage).select(
         "year",
         "school_id",
         "district",
@@ -567,7 +582,7 @@ def _(spark, sf):
 
 @query("risk_score", "SELECT school_id, academic_year, risk_score, risk_level FROM risk", "risk")
 def _(spark, sf):
-    return scored_of(spark, sf).select("school_id", "academic_year", "risk_score", "risk_level")
+    return scored(facts_of(spark, sf)).select("school_id", "academic_year", "risk_score", "risk_level")
 
 
 @query(
@@ -991,14 +1006,8 @@ def _(spark, sf):
     """The same submissions as a file stream joined to the published gap table."""
     arrivals, out = store.new_path(spark, "arrivals"), store.new_path(spark, "judged")
     standin.submissions(spark, sf).write.parquet(arrivals)
-    gap_table = standin.published(
-        spark,
-        sf,
-        "gap_table",
-        lambda: gaps.with_gaps(facts_of(spark, sf)).select(
-            "school_id", "academic_year", "classroom_gap", "teacher_gap", "total_enrolment"
-        ),
-        ["academic_year"],
+    gap_table = scored_of(spark, sf).select(
+        "school_id", "academic_year", "classroom_gap", "teacher_gap", "total_enrolment"
     )
     judged = stream.judged_stream(stream.read_submissions(spark, arrivals), gap_table)
     stream.append_stream(judged, out, store.new_path(spark, "stream-state"), "validated_at").awaitTermination()
