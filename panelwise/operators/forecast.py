@@ -34,27 +34,14 @@ def with_wma_growth(facts: DataFrame) -> DataFrame:
 
 
 def with_horizons(base: DataFrame, growth: str, horizons=HORIZONS) -> DataFrame:
-    """One row per school and horizon with the compounded enrolment.
-
-    Growth is clamped for the projection only. Powers are repeated products so
-    that every engine gets the same bits.
-    """
+    """One row per school and horizon with the compounded enrolment; growth is clamped for this only."""
     step = F.lit(1.0) + clamp(growth, -GROWTH_CAP, GROWTH_CAP)
-    ahead = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("years_ahead"),
-                reduce(lambda a, b: a * b, [F.col("_step")] * k).alias("_factor"),
-            )
-            for k in horizons
-        ]
-    )
-    projected = F.greatest(F.lit(0), F.rint(F.col("base_enrolment") * F.col("_factor")).cast("int"))
+    value = F.rint(F.col("base_enrolment") * F.pow("_step", "years_ahead")).cast("int")
     return (
         base.withColumn("_step", step)
-        .select("*", F.inline(ahead))
-        .withColumn("projected_enrolment", F.when(F.col("base_enrolment").isNotNull(), projected))
-        .drop("_step", "_factor")
+        .select("*", F.explode(F.array(*[F.lit(k) for k in horizons])).alias("years_ahead"))
+        .withColumn("projected_enrolment", F.when(F.col("base_enrolment").isNotNull(), F.greatest(F.lit(0), value)))
+        .drop("_step")
     )
 
 

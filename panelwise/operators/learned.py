@@ -155,12 +155,15 @@ def feature_panel(scored: DataFrame) -> DataFrame:
 
 def target_profile(panel: DataFrame) -> DataFrame:
     """One row: mean, median, standard deviation, 5th and 95th percentile of the target."""
-    rows = panel.where(F.col("target_growth").isNotNull()).withColumn("scope", F.lit("target"))
-    moments = rows.groupBy("scope").agg(
-        F.avg("target_growth").alias("mean"), F.stddev_samp("target_growth").alias("std")
+    rows = panel.where(F.col("target_growth").isNotNull())
+    marks = exact_percentiles(rows, [], "target_growth", {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    return marks.select(
+        rows.agg(F.avg("target_growth")).scalar().alias("mean"),
+        rows.agg(F.stddev_samp("target_growth")).scalar().alias("std"),
+        "p5",
+        "median",
+        "p95",
     )
-    marks = exact_percentiles(rows, ["scope"], "target_growth", {"p5": 0.05, "median": 0.5, "p95": 0.95})
-    return moments.join(marks, "scope").drop("scope")
 
 
 def _years(panel: DataFrame) -> Column:
@@ -316,7 +319,10 @@ def compare_forecasts(learned: DataFrame, averaged: DataFrame) -> DataFrame:
 
 
 def growth_profile(forecast: DataFrame, growth: str = "ml_growth_rate") -> DataFrame:
-    """One row: mean and median growth over schools."""
-    rows = forecast.where(F.col("years_ahead") == 1).withColumn("scope", F.lit("growth"))
-    means = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("schools"), F.avg(growth).alias("mean_growth"))
-    return means.join(exact_percentiles(rows, ["scope"], growth, {"median_growth": 0.5}), "scope").drop("scope")
+    """One row: schools, mean and median growth."""
+    rows = forecast.where(F.col("years_ahead") == 1)
+    return exact_percentiles(rows, [], growth, {"median_growth": 0.5}).select(
+        rows.agg(F.count(F.lit(1))).scalar().alias("schools"),
+        rows.agg(F.avg(growth)).scalar().alias("mean_growth"),
+        "median_growth",
+    )

@@ -130,7 +130,7 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[
     task. Here the values are first counted per cell of a monotone log scale
     (at most some thousands of cells whatever the data), the cells that hold
     the wanted positions are found, and only the distinct values inside those
-    cells are ordered.
+    cells are ordered. Without groups there is one row over everything.
     """
     cells_per_unit = 1024
     x = F.col(value).cast("double")

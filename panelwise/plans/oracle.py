@@ -347,8 +347,7 @@ FROM wma0 WHERE academic_year = (SELECT max(academic_year) FROM wma0)""",
 )
 define(
     "wma2",
-    """SELECT *, greatest(0, CAST(round_even(base_enrolment * (CASE years_ahead WHEN 1 THEN step WHEN 2 THEN step * step
-    ELSE step * step * step END), 0) AS INTEGER)) AS projected_enrolment,
+    """SELECT *, greatest(0, CAST(round_even(base_enrolment * pow(step, years_ahead), 0) AS INTEGER)) AS projected_enrolment,
   concat(CAST(CAST(split_part(base_year, '-', 1) AS INTEGER) + years_ahead AS VARCHAR), '-',
     lpad(CAST(CAST(split_part(base_year, '-', 2) AS INTEGER) + years_ahead AS VARCHAR), 2, '0')) AS forecast_year
 FROM wma1 CROSS JOIN (VALUES (1), (2), (3)) AS h(years_ahead)""",

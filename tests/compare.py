@@ -45,9 +45,8 @@ def _rows(rows, names):
     return sorted(plain, key=repr)
 
 
-def compare(spark, con, name, build, statement, sf_dir) -> str | None:
-    """None when equal, otherwise what differs."""
-    df = build(spark, sf_dir)
+def compare(con, df, statement) -> str | None:
+    """None when the frame equals the statement's result, otherwise what differs."""
     got_types = {f.name: KINDS.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     got = [tuple(r) for r in df.collect()]
     res = con.execute(statement)
@@ -82,7 +81,7 @@ def main(sf_dir: str, only: list[str]) -> None:
         t = time.time()
         try:
             if name in statements:
-                problem = compare(spark, con, name, build, statements[name], sf_dir)
+                problem = compare(con, build(spark, sf_dir), statements[name])
             else:
                 n = build(spark, sf_dir).count()
                 problem = None if n else "no rows"
