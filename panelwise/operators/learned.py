@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -61,6 +61,7 @@ class BoostingSettings:
     min_leaf: int = 100
     seed: int = 42
     loss: str = "absolute"
+    patience: int = 30
     tolerance: float = 1e-5
 
 
@@ -192,9 +193,32 @@ def assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
 
+def with_held_out(train: DataFrame) -> DataFrame:
+    """Mark a tenth of the rows, chosen by a hash of their key."""
+    return train.withColumn("held_out", F.pmod(F.xxhash64("school_id", "academic_year"), F.lit(10)) == 0)
+
+
+def rounds_to_keep(errors: list[float], patience: int, tolerance: float) -> int:
+    """Rounds until `patience` of them in a row brought no improvement of at least `tolerance`."""
+    best, since = float("inf"), 0
+    for n, error in enumerate(errors, start=1):
+        since = 0 if error < best - tolerance else since + 1
+        best = min(best, error) if since == 0 else best
+        if since >= patience:
+            return n
+    return len(errors)
+
+
 def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GBTRegressionModel:
-    """Boosted trees with a tenth of the rows held out for early stopping."""
-    held_out = F.pmod(F.xxhash64("school_id", "academic_year"), F.lit(10)) == 0
+    """Boosted trees, stopped early on held-out rows.
+
+    The built-in early stop ends at the first round without improvement. To
+    allow a patience, all rounds are fitted, the held-out error of each prefix
+    is read off, and if a shorter run is enough it is fitted again; with the
+    same seed its trees are those of the prefix.
+    """
+    marked = assembled(with_held_out(train)).select("features", "target_growth", "held_out")
+    kept, held = marked.where(~F.col("held_out")), marked.where("held_out")
     booster = GBTRegressor(
         featuresCol="features",
         labelCol="target_growth",
@@ -206,10 +230,27 @@ def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GB
         minInstancesPerNode=settings.min_leaf,
         seed=settings.seed,
         lossType=settings.loss,
-        validationIndicatorCol="held_out",
-        validationTol=settings.tolerance,
     )
-    return booster.fit(assembled(train).withColumn("held_out", held_out).select("features", "target_growth", "held_out"))
+    model = booster.fit(kept)
+    if settings.rounds <= settings.patience:
+        return model
+    errors = model.evaluateEachIteration(held, settings.loss)
+    enough = rounds_to_keep(errors, settings.patience, settings.tolerance)
+    return model if enough >= settings.rounds else booster.setMaxIter(enough).fit(kept)
+
+
+def fit_best(
+    train: DataFrame, settings: BoostingSettings = BoostingSettings(), losses=("absolute", "squared")
+) -> GBTRegressionModel:
+    """Fit one model per loss and keep the one with the smaller held-out absolute error."""
+    held = with_held_out(train).where("held_out")
+
+    def miss(model: GBTRegressionModel) -> float:
+        rows = predict(model, held)
+        return rows.agg(F.avg(F.abs(F.col("target_growth") - F.col("ml_growth")))).first()[0]
+
+    models = [fit(train, replace(settings, loss=loss)) for loss in losses]
+    return min(models, key=miss)
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame, as_name: str = "ml_growth") -> DataFrame:

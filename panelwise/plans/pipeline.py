@@ -79,7 +79,7 @@ def learn(
     """Scored rows -> features, trained forecast and its evaluation."""
     panel = house.put("features", learned.feature_panel(scored))
     train, test = learned.split(panel)
-    model = learned.fit(train, settings)
+    model = learned.fit_best(train, settings)
     return {
         "features": panel,
         "learned_forecast": house.put("learned_forecast", learned.learned_forecast(model, panel, train)),

@@ -57,7 +57,7 @@ def test_features_equal_a_pandas_computation(sample):
 def trained(sample):
     panel = learned.feature_panel(scored(sample)).cache()
     train, test = learned.split(panel)
-    settings = learned.BoostingSettings(rounds=15, step=0.2, min_leaf=5)
+    settings = learned.BoostingSettings(rounds=15, step=0.2, min_leaf=5, loss="squared")
     return panel, train, test, learned.fit(train, settings)
 
 
@@ -111,3 +111,21 @@ def test_target_profile(trained):
     x = panel.toPandas()["target_growth"].dropna()
     assert (got["mean"], got["median"], got["std"]) == pytest.approx((x.mean(), x.median(), x.std()))
     assert (got.p5, got.p95) == pytest.approx((x.quantile(0.05), x.quantile(0.95)))
+
+
+def test_patience():
+    assert learned.rounds_to_keep([3, 2, 1, 1, 1, 1], 3, 1e-5) == 6
+    assert learned.rounds_to_keep([3, 2, 2.5, 1.9, 2, 2, 2, 1], 3, 1e-5) == 7
+    assert learned.rounds_to_keep([3, 2, 1], 3, 1e-5) == 3
+
+
+def test_early_stop_and_choice_of_loss(trained):
+    _, train, _, _ = trained
+    settings = learned.BoostingSettings(rounds=6, step=0.9, min_leaf=5, patience=2, loss="squared")
+    model = learned.fit(train, settings)
+    kept = learned.assembled(learned.with_held_out(train))
+    full = learned.fit(train, learned.BoostingSettings(rounds=6, step=0.9, min_leaf=5, loss="squared"))
+    errors = full.evaluateEachIteration(kept.where("held_out"), "squared")
+    assert model.getNumTrees == learned.rounds_to_keep(errors, 2, 1e-5)
+    best = learned.fit_best(train, learned.BoostingSettings(rounds=4, step=0.3, min_leaf=5))
+    assert best.getNumTrees == 4

@@ -1,22 +1,15 @@
-"""Raw CSV folders to published tables, end to end."""
+"""Facts and raw CSV folders to published tables."""
 
 from pyspark.sql import functions as F
 
 from panelwise.operators.allocation import Scenario
 from panelwise.operators.learned import BoostingSettings
-from panelwise.plans import catalog, pipeline, standin
+from panelwise.plans import pipeline, standin
 from panelwise.plans.report import scored
 
 
-def test_from_csv_to_report(spark, sf, tmp_path):
-    root = catalog.raw_csv_of(spark, sf)
+def test_facts_to_report(spark, sf, tmp_path):
     house = pipeline.Warehouse(spark, str(tmp_path))
-    # folders are <kind>/year=<year> here; years are listed below the first kind
-    from panelwise.sources import raw
-
-    years = raw.list_years(spark, f"{root}/profile_1")
-    files = raw.read_all_years(spark, root, years, catalog.CSV_LAYOUT)
-    assert set(files) == set(raw.KINDS)
     facts = standin.facts(spark, sf)
     tables = pipeline.derive(house, facts)
     assert house.get("report").count() == facts.count() == tables["scored"].count()
