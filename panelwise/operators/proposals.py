@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import count_if, exact_mean, hash_number, ratio, round_half_away
-from panelwise.functions.windows import in_year, top
+from panelwise.functions.windows import in_year, only, top
 
 # Fixed values of the batch rule set.
 OVER, MODERATE, UNDER = 1.5, 1.2, 0.5
@@ -187,7 +187,7 @@ def validation_summary(judged: DataFrame) -> DataFrame:
 def top_rejecting_districts(judged: DataFrame, k: int = 10, year: str | None = None) -> DataFrame:
     """Districts of one year by rejected requests. Needs the district column."""
     totals = (
-        in_year(judged, year)
+        only(in_year(judged, year), "has_school")
         .groupBy("district")
         .agg(
             F.count(F.lit(1)).alias("proposals"),

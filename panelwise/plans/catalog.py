@@ -125,7 +125,8 @@ def learned_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_csv_of(spark: SparkSession, sf: str) -> str:
     """The raw files as CSV folders, one per kind and year, written from the tables."""
-    key = (spark.sparkContext.applicationId, sf)
+    inputs = store.input_signature(standin.table(spark, sf, "lineitem"))
+    key = (spark.sparkContext.applicationId, sf, inputs)
     if key not in _CSV_ROOTS:
         root = store.new_path(spark, "raw")
         for kind, df in standin.raw_files(spark, sf).items():

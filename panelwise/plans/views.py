@@ -195,12 +195,14 @@ def priority_schools(report: DataFrame, district: str | None = None, year: str |
 
 
 def decision_counts(judged: DataFrame, district: str | None = None, year: str | None = None) -> DataFrame:
-    return pick(in_year(judged, year), district=district).groupBy("district", "decision_status").agg(rows_count().alias("count"))
+    rows = pick(only(in_year(judged, year), "has_school"), district=district)
+    return rows.groupBy("district", "decision_status").agg(rows_count().alias("count"))
 
 
 def flagged_requests(judged: DataFrame, district: str | None = None, year: str | None = None, k: int = 30) -> DataFrame:
     """Flagged requests of each district by lowest confidence."""
-    rows = pick(in_year(judged, year), district=district).where(F.col("decision_status") == "FLAGGED")
+    rows = pick(only(in_year(judged, year), "has_school"), district=district)
+    rows = rows.where(F.col("decision_status") == "FLAGGED")
     return top_per(
         rows.select(
             "district",
