@@ -5,13 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import decontaminate, exact, jaccard, mixing, tokens, toxicity
-from panelwise.llm.common import table
+from panelwise.llm import chat, decontaminate, exact, html, jaccard, licenses, mixing, pii, tokens, toxicity
+from panelwise.llm.common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,6 +32,15 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # a conversation whose texts are control strings
+    probe = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    segments = scratch(chat.format_turns(chat.text_parts(turns.unionByName(more))), "chat")
+    return chat.digests(segments)
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -38,10 +59,70 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": personal_data,
+    "op2_main_text": main_text,
+    "op3_license_notices": license_notices,
     "op4_decontamination": decontamination,
     "op5_source_mix": source_mix,
+    "op6_chat_format": chat_format,
     "op7_jaccard_join": jaccard_join,
     "op8_toxicity": toxicity_scores,
     "op9_exact_dedup": exact_dedup,
     "op10_token_ids": token_ids,
 }
+
+ORACLE = {
+    "op5_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+          FROM documents),
+        p AS (
+          SELECT *, md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS place FROM d),
+        s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size, CAST(3 * sum(size) AS HUGEINT) AS cap FROM d GROUP BY source),
+        w AS (
+          SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS HUGEINT) AS w, sum(source_size) OVER () AS total
+          FROM s),
+        f AS (
+          SELECT *, coalesce(sum(cap) OVER (ORDER BY cap * 6 // w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+            sum(w) OVER (ORDER BY cap * 6 // w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+          FROM w),
+        l AS (
+          SELECT *, (total - taken) * w >= cap * weights AS is_full FROM f),
+        g AS (
+          SELECT *, coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0) AS given, sum(CASE WHEN NOT is_full THEN w END) OVER () AS open_w
+          FROM l),
+        t AS (
+          SELECT source, CAST(source_size AS BIGINT) AS source_size,
+            CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE CAST(w * (total - given) AS DOUBLE) / CAST(open_w AS DOUBLE) END AS target
+          FROM g),
+        r AS (
+          SELECT p.doc_id, p.size, t.source_size, t.target,
+            CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+            sum(p.size) OVER (PARTITION BY p.source ORDER BY p.place, p.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far
+          FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+          CAST(size * (whole + CASE WHEN size > 0 AND so_far - size / 2.0 < target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM r""",
+    "op6_chat_format": r"""
+        WITH c AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+          UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        m AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS masked FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          CAST(sum(length(masked)) AS BIGINT) AS loss_chars,
+          sha256(string_agg(masked, '' ORDER BY turn, role, text)) AS loss_sha256,
+          CAST(sum(length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 24) AS BIGINT) AS formatted_chars
+        FROM m GROUP BY conv_id""",
+    "op9_exact_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS squeezed
+          FROM documents),
+        g AS (
+          SELECT doc_id, first_value(doc_id) OVER (PARTITION BY squeezed ORDER BY n DESC, doc_id) AS keep_id,
+            count(*) OVER (PARTITION BY squeezed) AS group_size,
+            row_number() OVER (PARTITION BY squeezed ORDER BY n DESC, doc_id) = 1 AS kept, sha256(squeezed) AS text_sha256
+          FROM d)
+        SELECT * FROM g""",
+}
