@@ -5,18 +5,18 @@ when the Jaccard similarity is 0.8 or more.
 
 1. Every text is sketched: 112 MinHash values of 16 bits, in 28 bands of four.
    Rows with the same words in the same order are copies and share one sketch.
-2. Texts that share a band meet in a bucket. In each bucket all meet one member,
-   picked by a hash, instead of each other.
-3. Each pair's MinHash values are compared 16 at a time. After every step the
+2. Texts that share a band meet in a bucket. The most central member of a bucket
+   (the one with most company over all its buckets) is its centre, and the home of
+   a text is the most central of the centres it meets. Near copies share the home.
+3. Texts with one home are compared in blocks: a task takes two blocks, and nothing
+   but counts of links and the edges of a spanning forest leaves it. A home with
+   thousands of texts becomes pairs of blocks for many tasks, never pairs of texts.
+   Texts of different homes that share a bucket are compared as pairs.
+4. In both, MinHash values are compared 16 at a time. After every step the
    posterior probability that the similarity reaches 0.8 (uniform prior, Beta
-   posterior) is looked up, and pairs below the tolerance are dropped.
-4. The rest is verified on the full shingle sets. Links give components.
-5. Members of a bucket that still lie in another component than most of it meet
-   all members of other components in it, by steps 3 and 4. Pairs inside a
-   component are linked already, so no link between components is missed, and a
-   bucket of thousands of near copies never becomes all its pairs.
-6. Links are counted exactly: the texts of a class go into blocks, and pairs of
-   blocks are counted as matrix products in tasks of their own. No pair is output.
+   posterior) is looked up, and pairs below the tolerance are dropped; the rest is
+   verified on the full shingle sets.
+5. Links give components, the classes, and each text's number of links is summed up.
 
 A pair at exactly 0.8 shares no band with probability 4e-7 and is dropped by the
 tolerance with at most 1e-5; beyond that the result is exact, with 64-bit shingle
@@ -48,7 +48,7 @@ BANDS, ROWS = 28, 4
 LANES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-BLOCK_TEXTS = 256
+BLOCK_TEXTS = 512
 VOCABULARY = 4096
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,6 +133,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _ints(column: pa.Array) -> np.ndarray:
+    """Rows of a column of equally long lists."""
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), "<i8").reshape(len(column), -1)
 
 
@@ -156,7 +157,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             hashes, _, first = word_hashes(strings(part.column("text")))
             made = [shingle_set(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(made, pa.binary())], names=["rid", "shingles"])
+            columns = [part.column("rid"), pa.array(made, pa.binary()), part.column("bands")]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "shingles", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,23 +190,61 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _count_block(key: tuple, batch: pa.Table) -> pa.Table:
-    """Links between two blocks of a class, or inside one, by text."""
+def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of two blocks Bayesian pruning leaves, comparing their MinHash values step by step."""
+    matches, done = np.zeros((len(a), len(b)), np.int16), 0
+    alive = np.ones_like(matches, bool)
+    for n, least in least_matches():
+        for lane in range(done, n):
+            matches += a[:, lane, None] == b[None, :, lane]
+        done = n
+        alive &= matches >= least
+        if not alive.any():
+            break
+    return alive
+
+
+def forest(links: np.ndarray, rids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (rid, smallest rid of its component) of a symmetric table of links."""
+    label = np.arange(len(rids))
+    while True:
+        near = np.where(links, label[None, :], len(rids)).min(axis=1, initial=len(rids))
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return [(int(rids[i]), int(rids[j])) for i, j in enumerate(label) if i != j]
+        label = new
+
+
+def _compare_blocks(key: tuple, batch: pa.Table) -> pa.Table:
+    """Per text of two blocks of a home: its links into the other block (or its own), and an edge of the forest."""
     low, high = key[1].as_py(), key[2].as_py()
+    batch = batch.sort_by("rid")
     rids, blocks = batch.column("rid").to_numpy(), batch.column("block").to_numpy()
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
+    lanes = np.ascontiguousarray(_ints(batch.column("bands").combine_chunks())).view(np.uint16)
+    sizes = np.array([len(s) for s in sets])
     left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-    if not len(left) or not len(right):
-        return pa.table({"rid": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-    a, b = [sets[i] for i in left], [sets[i] for i in right]
-    size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-    is_link = linked(shared_counts(a, b), size_a[:, None], size_b[None, :])
-    if low == high:
-        np.fill_diagonal(is_link, False)
-        rid, links = rids[left], is_link.sum(axis=1)
-    else:
-        rid, links = np.concatenate([rids[left], rids[right]]), np.concatenate([is_link.sum(axis=1), is_link.sum(axis=0)])
-    return pa.table({"rid": pa.array(rid, pa.int64()), "links": pa.array(links, pa.int64())})
+    links = np.zeros((len(rids), len(rids)), bool)
+    pairs = likely(lanes[left], lanes[right])
+    rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
+    if len(rows) and len(columns):
+        i, j = left[rows], right[columns]
+        shared = shared_counts([sets[x] for x in i], [sets[x] for x in j])
+        found = linked(shared, sizes[i][:, None], sizes[j][None, :]) & pairs[np.ix_(rows, columns)]
+        links[np.ix_(i, j)] = found
+        links |= links.T
+    np.fill_diagonal(links, False)
+    edges = dict(forest(links, rids))
+    counts = links.sum(axis=1)
+    keep = np.flatnonzero(counts)
+    return pa.table(
+        {
+            "rid": pa.array(rids[keep], pa.int64()),
+            "links": pa.array(counts[keep], pa.int64()),
+            "edge": pa.array([edges.get(int(r)) for r in rids[keep]], pa.int64()),
+        }
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,25 +286,23 @@ class Join:
         self._link()
 
     def _buckets(self) -> None:
-        """Members of buckets with two texts or more, each with the member that all others meet."""
+        """Members of buckets with two texts or more, and every text's home."""
         every = self.texts.where("bands is not null").select("rid", F.posexplode("bands").alias("band", "value"))
-        # another order for each quarter of the bands, so that one unlike text is not picked in all of them
-        order = F.xxhash64(F.pmod("band", F.lit(4)))
-        shared = scratch(
-            every.groupBy("band", "value")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("rid").bitwiseXOR(order)).alias("low"))
-            .where("n > 1")
-            .select("band", "value", F.col("low").bitwiseXOR(order).alias("picked")),
-            "buckets",
-        )
-        self.members = scratch(every.join(shared, ["band", "value"]), "members")
+        shared = scratch(every.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        met = scratch(every.join(shared, ["band", "value"]), "met")
+        company = met.join(met.groupBy("rid").agg(F.sum("n").alias("company")), "rid")
+        company = scratch(company.select("band", "value", "rid", F.struct("company", "rid").alias("rank")), "company")
+        centre = scratch(company.groupBy("band", "value").agg(F.max("rank").alias("centre")), "centres")
+        homes = company.join(centre, ["band", "value"]).groupBy("rid").agg(F.max("centre").alias("home"))
+        self.homes = scratch(homes.select("rid", F.col("home.rid").alias("home")), "homes")
+        self.members = scratch(met.select("band", "value", "rid").join(self.homes, "rid"), "members")
 
     def _find_sets(self, texts: DataFrame) -> None:
         """Full shingle sets of the texts in buckets, each from one row that holds the text."""
-        wanted = self.texts.join(self.members.select("rid").distinct(), "rid").select("rid", "key", _doc("first_doc").alias("doc"))
+        wanted = self.texts.join(self.homes, "rid").select("rid", "key", _doc("first_doc").alias("doc"), "bands")
         rows = texts.withColumn("row", F.struct("text"))
-        one = _keyed(rows).join(wanted, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rid", "row.text")
-        self.sets = scratch(one.mapInArrow(_sets, "rid bigint, shingles binary"), "sets")
+        one = _keyed(rows).join(wanted, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rid", "row.text", "bands")
+        self.sets = scratch(one.mapInArrow(_sets, "rid bigint, shingles binary, bands array<bigint>"), "sets")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that Bayesian pruning leaves and the full sets confirm."""
@@ -278,53 +316,42 @@ class Join:
         return scratch(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
 
     def _link(self) -> None:
-        ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-        star = self.members.where("rid <> picked").select(F.col("rid").alias("x"), F.col("picked").alias("y"))
-        first = scratch(star.select(*ordered).distinct(), "pairs")
-        links = self._verified(first)
-        labels = components(links)
-        # buckets whose members lie in several components: all but the largest one's meet all the others
-        placed = self.members.join(labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        placed = scratch(placed.select("band", "value", "rid", "comp"), "placed")
-        sizes = placed.groupBy("band", "value", "comp").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("band", "value").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("most"))
-        mixed = scratch(mixed.where("comps > 1").select("band", "value", F.col("most.comp").alias("main")), "mixed")
-        left = placed.join(mixed, ["band", "value"]).where("comp <> main").select("band", "value", F.col("rid").alias("x"), F.col("comp").alias("comp_x"))
-        met = left.join(placed.withColumnRenamed("rid", "y"), ["band", "value"]).where("comp <> comp_x")
-        rest = met.select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
-        more = self._verified(scratch(rest, "pairs"))
-        self.links = links.unionByName(more)
-        self.labels = labels if more.isEmpty() else components(self.links)
+        """Links counted by text, and labels of the classes."""
+        sizes = scratch(self.homes.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        placed = self.homes.join(sizes, "home").select("rid", "home", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+        meet = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        meet = meet.select("rid", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        inside = meet.join(self.sets, "rid").groupBy("home", "low", "high").applyInArrow(_compare_blocks, "rid bigint, links bigint, edge bigint")
+        inside = scratch(inside, "inside")
+        # members of a bucket outside the home of most of it meet all that have another home than they
+        there = self.members.groupBy("band", "value", "home").agg(F.count(F.lit(1)).alias("n"))
+        mixed = there.groupBy("band", "value").agg(F.count(F.lit(1)).alias("homes"), F.max(F.struct("n", "home")).alias("most"))
+        mixed = scratch(mixed.where("homes > 1").select("band", "value", F.col("most.home").alias("main")), "mixed")
+        left = self.members.join(mixed, ["band", "value"]).where("home <> main").select("band", "value", F.col("rid").alias("x"), F.col("home").alias("home_x"))
+        met = left.join(self.members.withColumnRenamed("rid", "y"), ["band", "value"]).where("home <> home_x")
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        across = self._verified(scratch(pairs, "pairs"))
+        edges = inside.where("edge is not null").select(F.col("rid").alias("a"), F.col("edge").alias("b"))
+        self.labels = components(edges.unionByName(across))
+        ends = across.select(F.explode(F.array("a", "b")).alias("rid"), F.lit(1).cast("bigint").alias("links"))
+        self.counts = inside.select("rid", "links").unionByName(ends).groupBy("rid").agg(F.sum("links").alias("links"))
 
     def classes(self) -> DataFrame:
-        """Per text: key, class_id, n_links, n_copies, class_size, kept (the class's first text)."""
-        known = self.texts.select("rid", "key", "first_doc", "copies").join(self.labels, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        known = scratch(known, "known")
-        of_class = known.groupBy("comp").agg(
-            F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"),
-            F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "rid")).alias("first_text"),
-        )
-        of_class = scratch(of_class, "classes")
-        placed = known.join(of_class, "comp")
-        many = placed.where("n_texts > 2").select("rid", "comp", F.ceil(F.col("n_texts") / BLOCK_TEXTS).cast("int").alias("blocks"))
-        many = many.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-        meet = many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        meet = meet.select("rid", "comp", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        counted = meet.join(self.sets, "rid").groupBy("comp", "low", "high").applyInArrow(_count_block, "rid bigint, links bigint")
-        links = counted.groupBy("rid").agg(F.sum("links").alias("links"))
-        two = F.when(F.col("n_texts") == 2, 1).otherwise(0)
-        return placed.join(links, "rid", "left").select(
-            "key", "class_id", F.coalesce("links", two).cast("bigint").alias("n_links"), F.col("copies").alias("n_copies"), "class_size",
-            (F.col("rid") == F.col("first_text.rid")).alias("kept"), "first_doc",
-        )
+        """Per text: key, class_id, n_links, n_copies, class_size."""
+        known = self.texts.select("rid", "key", "first_doc", "copies").join(self.labels, "rid", "left")
+        known = scratch(known.withColumn("comp", F.coalesce("comp", "rid")).join(self.counts, "rid", "left"), "known")
+        of_class = known.groupBy("comp").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("class_size"))
+        return known.join(scratch(of_class, "classes"), "comp").select(
+            "key", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.col("copies").alias("n_copies"), "class_size"
+        )
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, class_id, n_links (other texts with similarity 0.8 or more), n_copies, class_size."""
     join = Join(docs)
     rows = join.rows.select("doc_id", "key", F.pmod("row_id", F.lit(SALTS)).alias("salt"))
-    found = join.classes().select("key", "class_id", "n_links", "n_copies", "class_size")
-    return lookup(rows, "key", "salt", found).select("doc_id", "class_id", "n_links", "n_copies", "class_size")
+    return lookup(rows, "key", "salt", join.classes()).select("doc_id", "class_id", "n_links", "n_copies", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
