@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import col
+from panelwise.llm.common import bounded, col
 
 # Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -143,7 +143,7 @@ def text_parts(turns: DataFrame) -> DataFrame:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """One segment a turn. `turns` has conv_id, turn, role, parts, and ord to break ties."""
-    return turns.select("conv_id", "turn", "role", "parts", "ord").mapInArrow(_format, SEGMENTS)
+    return bounded(turns).select("conv_id", "turn", "role", "parts", "ord").mapInArrow(_format, SEGMENTS)
 
 
 def in_order(segments: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ _DIGEST_NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha25
 
 def digests(segments: DataFrame) -> DataFrame:
     """Per conversation, read back from its segments: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    rows = in_order(segments).select("conv_id", "segment", "loss_start", "loss_end")
+    rows = in_order(bounded(segments)).select("conv_id", "segment", "loss_start", "loss_end")
     return rows.mapInArrow(_digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 

@@ -13,6 +13,7 @@ from panelwise.sources import store
 
 SALTS = 32
 SLICE_BYTES = 1 << 18
+BATCH_ROWS = 1_000
 
 
 def scratch(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -27,6 +28,14 @@ def scratch(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same frame; its session hands Python at most 1,000 rows at a time, so long texts fit into a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

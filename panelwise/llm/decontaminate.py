@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import col, slices, strings
+from panelwise.llm.common import bounded, col, slices, strings
 from panelwise.llm.words import SHINGLE_WORDS, windows, word_hashes
 
 SIMILARITY = 0.8
@@ -220,7 +220,7 @@ def _find(index: Benchmark):
 
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated documents: doc_id, item_id, first_word and similarity of the best window."""
-    texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
+    texts = bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
     found = None
     for index in benchmark_blocks(benchmark):
         part = texts.mapInArrow(_find(index), "doc_id bigint, item_id bigint, word bigint, similarity double")
@@ -233,7 +233,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, as they are."""
-    at = docs.columns.index("text")
+    at = bounded(docs).columns.index("text")
 
     def clean(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import SALTS, col, lookup, scratch, slices, strings
+from panelwise.llm.common import SALTS, bounded, col, lookup, scratch, slices, strings
 from panelwise.llm.words import blanks, string_bytes
 
 WINDOW = 32
@@ -129,7 +129,7 @@ def recipes(docs: DataFrame, name=identifier) -> DataFrame:
     If two different chunks ever share an identifier, all are named anew with
     another seed, so identifiers in the result stand for one chunk each.
     """
-    texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
+    texts = bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
     attempt = 0
     while True:
         rows = scratch(texts.mapInArrow(_chunked(attempt, name), ROWS), "recipes", "kind")

@@ -24,7 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelwise.llm.common import col, slices, strings
+from panelwise.llm.common import bounded, col, slices, strings
 
 LONG_WORDS = 12
 STOP_DENSITY = 0.2
@@ -274,5 +274,5 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
-    rows = pages.select(col("page_id").cast("bigint").alias("page_id"), col("url").cast("string").alias("url"), col("html").alias("html"))
+    rows = bounded(pages).select(col("page_id").cast("bigint").alias("page_id"), col("url").cast("string").alias("url"), col("html").alias("html"))
     return rows.mapInArrow(_run, "page_id bigint, url string, text string, n_chars bigint")

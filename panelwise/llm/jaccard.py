@@ -36,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.llm.common import SALTS, col, lookup, scratch, slices, strings, whole_row
+from panelwise.llm.common import SALTS, bounded, col, lookup, scratch, slices, strings, whole_row
 from panelwise.llm.words import shingle_set, shingles, word_hashes
 
 BANDS, ROWS = 28, 4
@@ -110,12 +111,13 @@ def _doc(name: str):
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """(row, doc, key) of rows (row, doc_id, text); within a task repeated rows of a document pass once."""
+    """(row, doc, key) of rows (row, doc_id), the text being a field of row; within a task repeated rows of a document pass once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
         for batch in batches:
-            for part in slices(batch):
+            text = pc.struct_field(batch.column("row"), [at])
+            for part in slices(pa.RecordBatch.from_arrays([*batch.columns, text], names=["row", "doc", "text"])):
                 hashes, _, first = word_hashes(strings(part.column("text")))
                 keys = [copy_key(hashes[a:b]) for a, b in zip(first[:-1], first[1:])]
                 keep = []
@@ -127,7 +129,8 @@ def _keyed(rows: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([part.column("row"), part.column("doc"), pa.array(keys, pa.binary())], names=["row", "doc", "key"])
                 yield out.filter(pa.array(keep))
 
-    given = rows.select("row", _doc("doc_id").alias("doc"), "text")
+    given = rows.select("row", _doc("doc_id").alias("doc"))
+    at = given.schema["row"].dataType.fieldNames().index("text")
     schema = T.StructType([given.schema["row"], given.schema["doc"], T.StructField("key", T.BinaryType())])
     return given.mapInArrow(run, schema)
 
@@ -269,7 +272,7 @@ class Join:
     """The join of one table with itself; holds its tables in the shared folder."""
 
     def __init__(self, docs: DataFrame):
-        texts = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
+        texts = bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
         self.rows = scratch(
             texts.mapInArrow(_sketch, "doc_id bigint, key binary, bands array<bigint>").withColumn("row_id", F.monotonically_increasing_id()),
             "sketches",
@@ -300,7 +303,7 @@ class Join:
     def _find_sets(self, texts: DataFrame) -> None:
         """Full shingle sets of the texts in buckets, each from one row that holds the text."""
         wanted = self.texts.join(self.homes, "rid").select("rid", "key", _doc("first_doc").alias("doc"), "bands")
-        rows = texts.withColumn("row", F.struct("text"))
+        rows = texts.select("doc_id", F.struct("text").alias("row"))
         one = _keyed(rows).join(wanted, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rid", "row.text", "bands")
         self.sets = scratch(one.mapInArrow(_sets, "rid bigint, shingles binary, bands array<bigint>"), "sets")
 
@@ -361,6 +364,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = known.groupBy("comp").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "rid", "key")).alias("t"))
     first = scratch(first.select("t.key", _doc("t.first_doc").alias("doc")), "kept")
 
-    rows = docs.select(whole_row(docs).alias("row"), col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), col("doc_id").cast("bigint").alias("doc_id"))
     one = _keyed(rows).join(first, ["key", "doc"])
     return one.dropDuplicates(["key", "doc"]).select("row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import col, strings
+from panelwise.llm.common import bounded, col, strings
 
 TRAINING_ROWS = 12_000
 LEXICON_ENTRIES = 4_000
@@ -40,6 +40,7 @@ LONGEST_ENTRY = 24
 LEAST_DOCUMENTS = 5
 LEAST_LOG_RATIO = 2.0
 FOLDS = 5
+COUNTED_AT_ONCE = 100_000
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOK_ALIKES = {
@@ -139,7 +140,7 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, toxic, text of at most `most` labelled documents outside the held-out fold, picked by a hash of their id."""
-    known = labels.select(col("doc_id").alias("doc_id"), col("toxic").cast("int").alias("toxic"))
+    known = bounded(labels).select(col("doc_id").alias("doc_id"), col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -163,7 +164,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = sums.setdefault(f, [0, 0, 0])
                 row[toxic] += n
                 row[2] += toxic
-        if len(sums) > 500_000:
+        if len(sums) > COUNTED_AT_ONCE:
             yield out()
             sums = {}
     if sums:
@@ -251,7 +252,7 @@ def _scores(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    rows = docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
+    rows = bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
     got = rows.mapInArrow(_scores(lexicon), "doc_id bigint, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -265,5 +266,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
             texts = strings(batch.column(at)).to_pylist()
             yield batch.filter(pa.array([_score(lexicon.curve, *matched(fold(t), automaton)) < threshold for t in texts], pa.bool_()))
 
-    at = docs.columns.index("text")
+    at = bounded(docs).columns.index("text")
     return docs.mapInArrow(run, docs.schema)
