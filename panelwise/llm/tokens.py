@@ -25,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import col, scratch, slices, strings
+from panelwise.llm.common import bounded, col, scratch, slices, strings
 
 GROUP = 64
 BLOCK_IDS = 1 << 16
-CACHED_PIECES = 300_000
+CACHED_PIECES = 350_000
 LONGEST_CACHED = 64
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a contraction
 BLOCKS = (
     "shard int, block int, first_id bigint, n_ids bigint, width int, "
     "doc_ids array<bigint>, doc_ends array<bigint>, packed binary"
@@ -85,8 +86,9 @@ class Encoder:
 
     The byte-level pre-tokenizer never joins characters across a blank that stands
     alone between two others: a match either begins at the blank or ends before
-    it. Cutting there and joining the pieces' ids gives the ids of the whole text,
-    and pieces repeat, so most ids come from a bounded cache. Texts with other runs
+    it. Nor does it join letters and the punctuation after them. Cutting there and
+    joining the pieces' ids gives the ids of the whole text, and pieces repeat, so
+    most ids come from a bounded cache of two generations. Texts with other runs
     of white space are cut with a pattern; texts with an added token's string, and
     all texts for a tokenizer of another kind, are encoded in one go.
     """
@@ -102,7 +104,10 @@ class Encoder:
         shape = json.loads(definition)
         before = shape.get("pre_tokenizer") or {}
         self.pieces = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not shape.get("normalizer")
-        self.known: dict[str, bytes] = {}  # ids of a piece after a blank; none of these begins or ends with white space
+        # ids of a piece after a blank; none of these begins or ends with white space
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -121,19 +126,41 @@ class Encoder:
         if odd:
             cuts = [c if odd.isdisjoint(c) else self.cut.split(t) for c, t in zip(cuts, texts)]
             new = set().union(*cuts).difference(self.known)
-        fresh = list(new)
-        self.known.update(zip(fresh, self._ids([" " + p for p in fresh])))
+        self._learn(new)
         heads = list({c[0] for c in cuts})
         head = dict(zip(heads, self._ids(heads)))
         ids = [b"".join([head[c[0]], *map(self.known.__getitem__, c[1:])]) for c in cuts]
+        for p in new:
+            if len(p) > LONGEST_CACHED or not p or p[0].isspace() or p[-1].isspace():
+                del self.known[p]
         if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        else:
-            for p in fresh:
-                if len(p) > LONGEST_CACHED or not p or p[0].isspace() or p[-1].isspace():
-                    del self.known[p]
+            self.known, self.older = {}, self.known
         return ids
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of these pieces into the younger generation."""
+        known, older = self.known, self.older
+        ends = {}
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
+            else:
+                core = p.rstrip(PUNCTUATION) if len(p) <= LONGEST_CACHED else ""
+                ends[p] = core if core.isalpha() else p
+        for core in set(ends.values()):
+            if core in older:
+                known[core] = older[core]
+        fresh = [c for c in set(ends.values()) if c not in known]
+        known.update(zip(fresh, self._ids([" " + c for c in fresh])))
+        marks = list({p[len(c) :] for p, c in ends.items() if c is not p and len(c) < len(p)}.difference(self.endings))
+        if len(self.endings) > CACHED_PIECES:
+            self.endings = {}
+            marks = list({p[len(c) :] for p, c in ends.items() if len(c) < len(p)})
+        self.endings.update(zip(marks, self._ids(marks)))
+        for p, c in ends.items():
+            if len(c) < len(p):
+                known[p] = known[c] + self.endings[p[len(c) :]]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -194,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataF
     width = bit_width(max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1))
     text = F.xxhash64(col("text"))
     ordered = (
-        docs.select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"), text.alias("tie"))
+        bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"), text.alias("tie"))
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
@@ -225,7 +252,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(blocks: DataFrame) -> DataFrame:
     """Per stored document: doc_id, start (ids of all before it), n_tokens, ids_crc32, from the packed blocks."""
-    read = blocks.mapInArrow(_documents, "doc_id bigint, shard int, at bigint, n_tokens bigint, ids_crc32 bigint")
+    read = bounded(blocks).mapInArrow(_documents, "doc_id bigint, shard int, at bigint, n_tokens bigint, ids_crc32 bigint")
     # one row a shard, and there are as many shards as tasks wrote the store
     placed = read.join(F.broadcast(shard_starts(blocks)), "shard")
     return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
