@@ -79,9 +79,18 @@ def pct(part, whole, digits: int) -> Column:
 # --- lenient casts for text sources -------------------------------------
 
 
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
+def number(col) -> Column:
+    """Double or NULL; only decimal notation counts, so `1d` and `2f` are text."""
+    text = F.trim(as_col(col).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def safe_float(col) -> Column:
     """Number or NULL; NaN counts as missing."""
-    value = F.trim(as_col(col).cast("string")).try_cast("double")
+    value = number(col)
     return F.when(~F.isnan(value), value)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwise.functions.exprs import count_if, ratio, round_half_away
+from panelwise.functions.exprs import count_if, number, ratio, round_half_away
 
 KEYS = ["year", "school_id"]
 
@@ -52,8 +52,9 @@ def prepare(df: DataFrame) -> DataFrame:
 def stack_years(frames: dict[str, DataFrame]) -> DataFrame:
     """Union by name over years, with the year as a column.
 
-    Columns that appear in some years only are NULL elsewhere; a column whose
-    type differs between years becomes a string.
+    Columns that appear in some years only are NULL elsewhere, and their years are
+    kept in the column's metadata; a column whose type differs between years
+    becomes a string.
     """
     types: dict[str, set] = {}
     for df in frames.values():
@@ -66,7 +67,21 @@ def stack_years(frames: dict[str, DataFrame]) -> DataFrame:
         return df.select(F.lit(year).alias("year"), *cols)
 
     parts = [aligned(year, df) for year, df in sorted(frames.items())]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.select(
+        "year", *[in_years(F.col(f"`{c}`"), c, [y for y, df in frames.items() if c in df.columns]) for c in stacked.columns[1:]]
+    )
+
+
+def in_years(value: Column, name: str, years) -> Column:
+    """A column that notes the years whose files have it (None: all)."""
+    return value.alias(name) if years is None else value.alias(name, metadata={"years": sorted(years)})
+
+
+def years_of(df: DataFrame, name: str) -> set[str] | None:
+    """Years whose files have the column; None if it says nothing, which means all."""
+    years = df.schema[name].metadata.get("years")
+    return None if years is None else set(years)
 
 
 def non_null_counts(df: DataFrame) -> dict[str, int]:
@@ -82,27 +97,42 @@ def drop_null_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.drop(*dropped), dropped
 
 
-def numeric_columns(df: DataFrame, keys: list[str]) -> list[str]:
-    """Columns that are numbers, or text in which every value is a number (one pass)."""
+def numeric_columns(df: DataFrame, keys: list[str]) -> dict[str, set[str] | None]:
+    """Columns that are numbers, or text in which every value is a number, with the years for which that holds.
+
+    Each year is judged by itself (one aggregate keyed by year): a text cell in
+    one year leaves the sums of the others alone. None stands for all years.
+    """
     typed = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in keys]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keys]
+    found: dict[str, set[str] | None] = {c: years_of(df, c) for c in typed}
     if texts:
-        bad = df.agg(
-            *[
-                count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c)
-                for c in texts
-            ]
-        ).first()
-        texts = [c for c in texts if bad[c] == 0]
-    return [c for c in df.columns if c in typed or c in texts]
-
-
-def sum_by_school(df: DataFrame, columns: list[str], keys: list[str] = KEYS) -> DataFrame:
+        by = ["year"] if "year" in keys else []
+        bad = [count_if(F.col(f"`{c}`").isNotNull() & number(F.col(f"`{c}`")).isNull()).alias(c) for c in texts]
+        rows = df.groupBy(*by).agg(*bad).collect()  # one row a year
+        for c in texts:
+            good, there = {r["year"] if by else None for r in rows if r[c] == 0}, years_of(df, c)
+            if len(good) == len(rows):
+                found[c] = there
+            elif by and good & (there or good):
+                found[c] = good & (there or good)
+    return {c: found[c] for c in df.columns if c in found}
+
+
+def sum_by_school(df: DataFrame, columns, keys: list[str] = KEYS) -> DataFrame:
     """Sum numeric columns per key; rows without a school id are left out, all-missing sums are 0.
 
-    Map-side partial sums keep a school with very many group rows cheap.
+    `columns` are names, or names with the years that have them as numbers; the
+    sum is NULL in other years. Map-side partial sums keep a school with very many
+    group rows cheap.
     """
-    sums = [F.coalesce(F.sum(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(c) for c in columns]
+
+    def total(c: str) -> Column:
+        years = columns[c] if isinstance(columns, dict) else None
+        value = F.coalesce(F.sum(number(F.col(f"`{c}`"))), F.lit(0.0))
+        return in_years(value if years is None else F.when(F.col("year").isin(*years), value), c, years)
+
+    sums = [total(c) for c in columns]
     return df.where(F.col("school_id").isNotNull()).groupBy(*keys).agg(*sums)
 
 
@@ -120,14 +150,37 @@ def with_suffix_totals(df: DataFrame, tail: str = "") -> DataFrame:
 
 
 def join_left_suffixed(left: DataFrame, right: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Left join on the keys; a name present on both sides becomes name_x (left) and name_y (right)."""
+    """Left join on the keys; a name present on both sides becomes name_x (left) and name_y (right).
+
+    Over stacked years this holds for the years in which both sides have the name;
+    in a year in which only one has it, it keeps its name.
+    """
     both = [c for c in right.columns if c in left.columns and c not in keys]
+    years = {c: (years_of(left, c), years_of(right, c)) for c in both}
     left = left.withColumnsRenamed({c: f"{c}_x" for c in both})
     right = right.withColumnsRenamed({c: f"{c}_y" for c in both})
-    return left.join(right, keys, "left")
-
-
-def enrolment_totals(raw: DataFrame, tail: str, keys: list[str] = KEYS, numeric: list[str] | None = None) -> DataFrame:
+    joined = left.join(right, keys, "left")
+    if "year" not in keys:
+        return joined
+    out = []
+    apart = {c: pair for c, pair in years.items() if pair[0] != pair[1]}
+    for c in joined.columns:
+        name, side = c[:-2], c[-2:]
+        if name not in apart or side not in ("_x", "_y"):
+            out.append(F.col(f"`{c}`"))
+            continue
+        a, b = apart[name]
+        clash = b if a is None else a if b is None else a & b
+        if clash:
+            out.append(in_years(F.when(F.col("year").isin(*clash), F.col(f"`{c}`")), c, clash))
+        if side == "_x":
+            alone = F.coalesce(F.col(f"`{name}_x`").cast("string"), F.col(f"`{name}_y`").cast("string"))
+            only = None if a is None or b is None else (a | b) - clash
+            out.append(in_years(F.when(~F.col("year").isin(*clash), alone) if clash else alone, name, only))
+    return joined.select(*out)
+
+
+def enrolment_totals(raw: DataFrame, tail: str, keys: list[str] = KEYS, numeric=None) -> DataFrame:
     """Per-school sums of one enrolment file with its horizontal totals."""
     rows = raw.transform(drop_grouping)
     cols = numeric if numeric is not None else numeric_columns(rows, keys)

@@ -178,8 +178,8 @@ def split(panel: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     With `strict`, training rows whose target lies in the latest year are left
     out too (a school that skipped the test year would leak it).
     """
-    test_year = F.element_at(_years(panel), -2)
-    latest = F.element_at(_years(panel), -1)
+    test_year = F.try_element_at(_years(panel), F.lit(-2))
+    latest = F.try_element_at(_years(panel), F.lit(-1))
     labelled = panel.where(F.col("target_growth").isNotNull())
     train = labelled.where(
         (F.col("academic_year") != test_year) & (F.col("total_enrolment") >= MIN_TRAIN_ENROLMENT)

@@ -117,7 +117,8 @@ def learned_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
             "importance": learned.feature_importance(model, features),
         }
         for part, df in tables.items():
-            standin.published(spark, sf, f"learned_{part}", lambda df=df: df)
+            if part != name:  # the caller publishes this one
+                standin.published(spark, sf, f"learned_{part}", lambda df=df: df)
         return tables[name]
 
     return standin.published(spark, sf, f"learned_{name}", build)
@@ -1511,9 +1512,9 @@ def _(spark, sf):
 @query(
     "growing_gap_warnings",
     f"""SELECT district, current_gap, projected_gap, projected_gap > current_gap AS warning FROM
-  (SELECT district, {total('classroom_gap')} AS current_gap FROM latest GROUP BY district)
-  JOIN (SELECT district, {total('projected_classroom_gap')} AS projected_gap FROM wma WHERE years_ahead = 3
-    GROUP BY district) USING (district)""",
+  (SELECT coalesce(district, 'UNKNOWN') AS district, {total('classroom_gap')} AS current_gap FROM latest GROUP BY 1)
+  JOIN (SELECT coalesce(district, 'UNKNOWN') AS district, {total('projected_classroom_gap')} AS projected_gap FROM wma
+    WHERE years_ahead = 3 GROUP BY 1) USING (district)""",
     "latest",
     "wma",
 )

@@ -491,11 +491,12 @@ def critical_blocks(report: DataFrame, year: str | None = None, k: int = 10) ->
 
 
 def growing_gap_warnings(report: DataFrame, forecast: DataFrame, horizon: int = 3) -> DataFrame:
-    """Districts whose projected classroom gap exceeds today's."""
-    now = only(in_year(report), "has_school").groupBy("district").agg(F.sum("classroom_gap").alias("current_gap"))
+    """Districts whose projected classroom gap exceeds today's; schools without a district count as UNKNOWN."""
+    place = F.coalesce("district", F.lit("UNKNOWN")).alias("district")
+    now = only(in_year(report), "has_school").groupBy(place).agg(F.sum("classroom_gap").alias("current_gap"))
     then = (
         forecast.where(F.col("years_ahead") == horizon)
-        .groupBy("district")
+        .groupBy(place)
         .agg(F.sum("projected_classroom_gap").alias("projected_gap"))
     )
     return now.join(then, "district").withColumn("warning", F.col("projected_gap") > F.col("current_gap"))

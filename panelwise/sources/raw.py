@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwise.operators.assemble import prepare, stack_years
 
 # The file kinds of a year.
 KINDS = ("profile_1", "profile_2", "facility", "teacher", "enrolment_1", "enrolment_2")
 
+# Texts that stand for a missing cell.
+MISSING = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null", "",
+)
+
 YEAR_FOLDERS = "{root}/{year}/{kind}.csv"
 
 
@@ -27,8 +34,14 @@ def list_years(spark: SparkSession, root: str) -> list[str]:
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header, every column as text; types are declared later."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """A CSV with header, every column as text; types are declared later. Texts for a missing cell are NULL."""
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+    def cell(name: str):
+        value = F.col("`" + name.replace("`", "``") + "`")
+        return F.when(~value.isin(*MISSING), value).alias(name)
+
+    return df.select(*[cell(c) for c in df.columns])
 
 
 def read_year(spark: SparkSession, root: str, year: str, layout: str = YEAR_FOLDERS) -> dict[str, DataFrame]:

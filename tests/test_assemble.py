@@ -156,3 +156,50 @@ def test_a_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         store.shared_folder(Fake())
+
+
+DRIFT = {
+    "2018-19": {
+        "profile_1": "psuedocode,District,Block\nA,NA,B1\nB,D2,B2\n",
+        "profile_2": "psuedocode,Managment,Block\nA,Govt,Q\nB,Pvt,R\n",
+        "facility": "psuedocode,Internet\nA,1\nB,N/A\n",
+        "teacher": "psuedocode,Total Teacher\nA,7\nB,null\n",
+        "enrolment_1": "psuedocode,C1_B,C1_G\nA,x,5\nA,1,NA\nB,2,3\n",
+        "enrolment_2": "psuedocode,Age 5_B,Age 5_G\nA,10,6\nB,,\n",
+    },
+    "2019-20": {
+        "profile_1": "pseudocode,District,Block\nA,D1,B9\nB,D2,B2\n",
+        "profile_2": "pseudocode,Managment\nA,Govt\nB,Pvt\n",
+        "facility": "pseudocode,Internet\nA,1\nB,2\n",
+        "teacher": "pseudocode,Total Teacher\nA,7\nB,1\n",
+        "enrolment_1": "pseudocode,C1_B,C1_G,C2_B\nA,20,10,5\nB,1,1,\n",
+        "enrolment_2": "pseudocode,Age 5_B,Age 5_G\nA,25,10\nB,1,1d\n",
+    },
+}
+
+
+def test_years_are_judged_one_by_one(spark, tmp_path):
+    for year, files in DRIFT.items():
+        (tmp_path / year).mkdir()
+        for kind, text in files.items():
+            (tmp_path / year / f"{kind}.csv").write_text(text)
+    got = assemble.longitudinal(raw.read_all_years(spark, str(tmp_path)))
+    rows = {(r.year, r.school_id): r for r in got.collect()}
+    a, b, c, d = (rows[k] for k in (("2018-19", "A"), ("2018-19", "B"), ("2019-20", "A"), ("2019-20", "B")))
+    # missing cells, also in numbers
+    assert (a.district, b.internet, b.total_teacher, a.c1_g) == (None, None, None, 5.0)
+    # a text cell drops the column in its own year only
+    assert (a.c1_b, b.c1_b, a.total_boys, c.c1_b, c.total_boys) == (None, None, 0.0, 20.0, 25.0)
+    assert (c.age_5_g, d.age_5_g, a.age_5_g, b.age_5_b) == (None, None, 6.0, 0.0)
+    # a column the year's header lacks is missing, an empty one sums to 0
+    assert (a.c2_b, d.c2_b) == (None, 0.0)
+    # names clash in the year that has both, and only there
+    assert (a.block_x, a.block_y, a.block) == ("B1", "Q", None) and (c.block_x, c.block_y, c.block) == (None, None, "B9")
+
+
+def test_one_year_panel_splits_into_nothing(spark):
+    from panelwise.operators import learned
+
+    rows = [("a", "2020-21", 50, 0.1, "2021-22")]
+    df = spark.createDataFrame(rows, "school_id string, academic_year string, total_enrolment int, target_growth double, target_year string")
+    assert [part.count() for part in learned.split(df)] == [0, 0]
