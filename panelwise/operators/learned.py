@@ -219,7 +219,17 @@ def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GB
     """
     marked = assembled(with_held_out(train)).select("features", "target_growth", "held_out")
     kept, held = marked.where(~F.col("held_out")), marked.where("held_out")
-    booster = GBTRegressor(
+    booster = _booster(settings)
+    model = booster.fit(kept)
+    if settings.rounds <= settings.patience:
+        return model
+    errors = model.evaluateEachIteration(held, settings.loss)
+    enough = rounds_to_keep(errors, settings.patience, settings.tolerance)
+    return model if enough >= settings.rounds else booster.setMaxIter(enough).fit(kept)
+
+
+def _booster(settings: BoostingSettings) -> GBTRegressor:
+    return GBTRegressor(
         featuresCol="features",
         labelCol="target_growth",
         predictionCol="prediction",
@@ -231,16 +241,18 @@ def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GB
         seed=settings.seed,
         lossType=settings.loss,
     )
-    model = booster.fit(kept)
-    if settings.rounds <= settings.patience:
-        return model
-    errors = model.evaluateEachIteration(held, settings.loss)
-    enough = rounds_to_keep(errors, settings.patience, settings.tolerance)
-    return model if enough >= settings.rounds else booster.setMaxIter(enough).fit(kept)
+
+
+def fit_once(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GBTRegressionModel:
+    """Boosted trees in a single training, which ends when a round raises the error on held-out rows."""
+    marked = assembled(with_held_out(train)).select("features", "target_growth", "held_out")
+    return (
+        _booster(settings).setValidationIndicatorCol("held_out").setParams(validationTol=0.0).fit(marked)
+    )
 
 
 def fit_best(
-    train: DataFrame, settings: BoostingSettings = BoostingSettings(), losses=("absolute", "squared")
+    train: DataFrame, settings: BoostingSettings = BoostingSettings(), losses=("absolute", "squared"), fit=fit
 ) -> GBTRegressionModel:
     """Fit one model per loss and keep the one with the smaller held-out absolute error."""
     held = with_held_out(train).where("held_out")

@@ -40,7 +40,6 @@ from panelwise.streaming import submissions as stream
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-TRIAL = learned.BoostingSettings(rounds=20)
 SCENARIOS = [
     Scenario("base"),
     Scenario("half_budget", 25.0, 5.0, 500),
@@ -109,7 +108,7 @@ def learned_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     def build():
         features = features_of(spark, sf)
         train, test = learned.split(features)
-        model = learned.fit(train, TRIAL)
+        model = learned.fit_best(train, fit=learned.fit_once)
         tables = {
             "forecast": learned.learned_forecast(model, features, train),
             "evaluation": learned.evaluate(learned.predict(model, test)),
