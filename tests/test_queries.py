@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from panelwise.plans import catalog, views
 from tests.compare import compare, oracle
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
