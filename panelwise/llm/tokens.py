@@ -31,6 +31,7 @@ GROUP = 64
 BLOCK_IDS = 1 << 16
 CACHED_PIECES = 350_000
 LONGEST_CACHED = 64
+AT_ONCE = 512
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may begin a contraction
 BLOCKS = (
     "shard int, block int, first_id bigint, n_ids bigint, width int, "
@@ -103,7 +104,12 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shape = json.loads(definition)
         before = shape.get("pre_tokenizer") or {}
-        self.pieces = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not shape.get("normalizer")
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.pieces = plain and not shape.get("normalizer")
+        vocabulary = self.tokenizer.get_vocab()
+        # tokens that begin with a blank, which the byte-level alphabet writes as this letter
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         # ids of a piece after a blank; none of these begins or ends with white space
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -113,6 +119,23 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in done]
 
+    def _ids_after_blank(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece after a blank; pieces without a blank are encoded many to a text and told apart by it."""
+        lone = [p for p in pieces if " " in p or p.strip() != p or not p]
+        found = dict(zip(lone, self._ids([" " + p for p in lone])))
+        rest = [p for p in pieces if p not in found] if lone else pieces
+        parts = [rest[i : i + AT_ONCE] for i in range(0, len(rest), AT_ONCE)]
+        texts = [" " + " ".join(part) for part in parts]
+        for part, done in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(done.ids, "<u4")
+            ends = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
+            if len(ends) == len(part) + 1:
+                raw = ids.tobytes()
+                found.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+            else:
+                found.update(zip(part, self._ids([" " + p for p in part])))
+        return [found[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         whole = [not self.pieces or any(a in t for a in self.added) for t in texts]
@@ -122,17 +145,17 @@ class Encoder:
             return [next(apart if w else rest) for w in whole]
         cuts = [t.split(" ") for t in texts]
         new = set().union(*cuts).difference(self.known)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        odd = {p for p in new if p.strip() != p or not p}
         if odd:
             cuts = [c if odd.isdisjoint(c) else self.cut.split(t) for c, t in zip(cuts, texts)]
             new = set().union(*cuts).difference(self.known)
         self._learn(new)
         heads = list({c[0] for c in cuts})
         head = dict(zip(heads, self._ids(heads)))
-        ids = [b"".join([head[c[0]], *map(self.known.__getitem__, c[1:])]) for c in cuts]
-        for p in new:
-            if len(p) > LONGEST_CACHED or not p or p[0].isspace() or p[-1].isspace():
-                del self.known[p]
+        known = self.known.__getitem__
+        ids = [b"".join([head[c[0]], *map(known, c[1:])]) for c in cuts]
+        for p in [p for p in new if len(p) > LONGEST_CACHED or (odd and (p.strip() != p or not p))]:
+            del self.known[p]
         if len(self.known) > CACHED_PIECES:
             self.known, self.older = {}, self.known
         return ids
@@ -140,26 +163,28 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of these pieces into the younger generation."""
         known, older = self.known, self.older
+        again = {p for p in pieces if p in older}
+        known.update((p, older[p]) for p in again)
+        unknown = pieces - again
+        fresh = {p for p in unknown if p.isalpha()}
         ends = {}
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
+        for p in unknown - fresh:
+            core = p.rstrip(PUNCTUATION) if len(p) <= LONGEST_CACHED else ""
+            if core.isalpha():
+                ends[p] = core
             else:
-                core = p.rstrip(PUNCTUATION) if len(p) <= LONGEST_CACHED else ""
-                ends[p] = core if core.isalpha() else p
-        for core in set(ends.values()):
-            if core in older:
-                known[core] = older[core]
-        fresh = [c for c in set(ends.values()) if c not in known]
-        known.update(zip(fresh, self._ids([" " + c for c in fresh])))
-        marks = list({p[len(c) :] for p, c in ends.items() if c is not p and len(c) < len(p)}.difference(self.endings))
+                fresh.add(p)
+        cores = {c for c in ends.values() if c not in known and c not in fresh}
+        again = {c for c in cores if c in older}
+        known.update((c, older[c]) for c in again)
+        order = [*fresh, *(cores - again)]
+        known.update(zip(order, self._ids_after_blank(order)))
         if len(self.endings) > CACHED_PIECES:
             self.endings = {}
-            marks = list({p[len(c) :] for p, c in ends.items() if len(c) < len(p)})
+        marks = list({p[len(c) :] for p, c in ends.items()}.difference(self.endings))
         self.endings.update(zip(marks, self._ids(marks)))
-        for p, c in ends.items():
-            if len(c) < len(p):
-                known[p] = known[c] + self.endings[p[len(c) :]]
+        endings = self.endings
+        known.update((p, known[c] + endings[p[len(c) :]]) for p, c in ends.items())
 
 
 _encoders: dict[str, Encoder] = {}
