@@ -52,6 +52,18 @@ def in_year(df: DataFrame, year: str | None = None) -> DataFrame:
     return df.where(F.col("academic_year") == latest)
 
 
+def in_latest_of_few(df: DataFrame, year: str | None = None) -> DataFrame:
+    """As `in_year`, for roll-ups of districts by years: reads its input once.
+
+    The latest year is a window over all rows, which a roll-up has few of; a
+    scalar subquery would plan everything below the roll-up a second time.
+    """
+    if year is not None:
+        return in_year(df, year)
+    latest = F.max("academic_year").over(Window.partitionBy())
+    return df.withColumn("_latest", latest).where(F.col("academic_year") == F.col("_latest")).drop("_latest")
+
+
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     """First k rows of a total order (planned as TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away
-from panelwise.functions.windows import in_year, only, top
+from panelwise.functions.windows import in_latest_of_few, only, top
 from panelwise.operators.risk import HIGH_LEVELS
 
 # Grade and the largest mean risk it takes.
@@ -103,7 +103,7 @@ def index_summary(index: DataFrame) -> DataFrame:
 def riskiest_districts(index: DataFrame, k: int = 10, year: str | None = None) -> DataFrame:
     """Districts of one year (the latest by default) by mean risk."""
     return top(
-        in_year(index, year).select(
+        in_latest_of_few(index, year).select(
             "district",
             "academic_year",
             "avg_risk_score",

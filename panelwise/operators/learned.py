@@ -158,9 +158,10 @@ def target_profile(panel: DataFrame) -> DataFrame:
     """One row: mean, median, standard deviation, 5th and 95th percentile of the target."""
     rows = panel.where(F.col("target_growth").isNotNull())
     marks = exact_percentiles(rows, [], "target_growth", {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    moments = rows.agg(F.struct(F.avg("target_growth").alias("mean"), F.stddev_samp("target_growth").alias("std"))).scalar()
     return marks.select(
-        rows.agg(F.avg("target_growth")).scalar().alias("mean"),
-        rows.agg(F.stddev_samp("target_growth")).scalar().alias("std"),
+        moments["mean"].alias("mean"),
+        moments["std"].alias("std"),
         "p5",
         "median",
         "p95",
@@ -374,8 +375,9 @@ def compare_forecasts(learned: DataFrame, averaged: DataFrame) -> DataFrame:
 def growth_profile(forecast: DataFrame, growth: str = "ml_growth_rate") -> DataFrame:
     """One row: schools, mean and median growth."""
     rows = forecast.where(F.col("years_ahead") == 1)
+    moments = rows.agg(F.struct(F.count(F.lit(1)).alias("schools"), F.avg(growth).alias("mean_growth"))).scalar()
     return exact_percentiles(rows, [], growth, {"median_growth": 0.5}).select(
-        rows.agg(F.count(F.lit(1))).scalar().alias("schools"),
-        rows.agg(F.avg(growth)).scalar().alias("mean_growth"),
+        moments["schools"].alias("schools"),
+        moments["mean_growth"].alias("mean_growth"),
         "median_growth",
     )

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 # A cell (all rows with one score in one year) may hold most of a year. It is
 # split by the first hex digits of md5(school_id), which spreads ids evenly.
 TIE_DIGITS = 3
+SALT_DIGITS = 2
 
 
-def tie_bucket(school_id="school_id") -> Column:
+def tie_bucket(school_id="school_id", digits: int = TIE_DIGITS) -> Column:
     """First tie-break among equal scores: an even draw by id, then the id itself."""
-    return F.substring(F.md5(F.col(school_id)), 1, TIE_DIGITS)
+    return F.substring(F.md5(F.col(school_id)), 1, digits)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,15 +32,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(renamed, on, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def score_ranks(df: DataFrame, score: str, year: str, group: str) -> DataFrame:
+def score_ranks(df: DataFrame, score: str, year: str, group: str, school_id: str = "school_id") -> DataFrame:
     """RANK over the year, RANK inside the group and PERCENT_RANK over the year, by score descending.
 
     Distinct rounded scores per year are few, so the windows see at most that
-    many rows per year (or per year and group). The per-year table is small by
-    that bound; the per-group one is joined as the planner sees fit, and its
-    hot scores are left to the skew-join handling of adaptive execution.
+    many rows per year (or per year and group). Rows meet their cell's ranks by
+    cell and hash bucket, so a score that most of a group shares is spread over
+    256 keys.
     """
-    cells = df.groupBy(year, group, score).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.withColumn("_bucket", tie_bucket(school_id, SALT_DIGITS))
+    buckets = keyed.groupBy(year, group, score, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    cells = buckets.groupBy(year, group, score).agg(F.sum("_n").alias("_n"))
 
     by_year = Window.partitionBy(year).orderBy(F.desc(score))
     before = by_year.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,14 +60,15 @@ def score_ranks(df: DataFrame, score: str, year: str, group: str) -> DataFrame:
             year,
             group,
             score,
-            (F.col("_ybefore") + 1).cast("int").alias("state_rank"),
-            (F.col("_gbefore") + 1).cast("int").alias("district_rank"),
+            (F.col("_ybefore") + 1).alias("state_rank"),
+            (F.col("_gbefore") + 1).alias("district_rank"),
             F.when(F.col("_ytotal") > 1, F.col("_ybefore") / (F.col("_ytotal") - 1))
             .otherwise(F.lit(0.0))
             .alias("percent_rank"),
         )
     )
-    return join_null_safe(df, ranks, [year, group, score])
+    spread = join_null_safe(buckets.drop("_n"), ranks, [year, group, score])
+    return join_null_safe(keyed, spread, [year, group, score, "_bucket"]).drop("_bucket")
 
 
 def running_totals(
@@ -118,7 +122,7 @@ def running_totals(
     ).join(starts, [year, *cols, "_bucket"])
     return out.select(
         *df.columns,
-        (F.col("_o_n") + F.col("_l_n")).cast("int").alias(position),
+        (F.col("_o_n") + F.col("_l_n")).alias(position),
         *[(F.col(f"_o_s_{m}") + F.col(f"_l_s_{m}")).alias(f"{m}_running") for m in measures],
     )
 

@@ -297,6 +297,7 @@ def with_message(judged: DataFrame) -> DataFrame:
 
 
 def submission_history(stored: DataFrame, school_id: str | None = None) -> DataFrame:
-    """Stored submissions, newest first (per school when none is named)."""
-    rows = stored if school_id is None else stored.where(F.col("school_id") == school_id)
-    return rows.orderBy("school_id", F.desc("submitted_at"), F.desc("submission_id"))
+    """Stored submissions of a school, newest first; all of them, without an order, when none is named."""
+    if school_id is None:
+        return stored
+    return stored.where(F.col("school_id") == school_id).orderBy(F.desc("submitted_at"), F.desc("submission_id"))

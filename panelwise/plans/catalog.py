@@ -125,8 +125,7 @@ def learned_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_csv_of(spark: SparkSession, sf: str) -> str:
     """The raw files as CSV folders, one per kind and year, written from the tables."""
-    inputs = store.input_signature(standin.table(spark, sf, "lineitem"))
-    key = (spark.sparkContext.applicationId, sf, inputs)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _CSV_ROOTS:
         root = store.new_path(spark, "raw")
         for kind, df in standin.raw_files(spark, sf).items():
@@ -1101,7 +1100,7 @@ def _(spark, sf):
     "features",
 )
 def _(spark, sf):
-    profile = learned.target_profile(learned.feature_panel(scored_of(spark, sf)))
+    profile = learned.target_profile(features_of(spark, sf))
     return rounded(profile, 6, "mean", "std", "p5", "median", "p95")
 
 
@@ -1115,7 +1114,7 @@ def _(spark, sf):
     "features",
 )
 def _(spark, sf):
-    train, test = learned.split(learned.feature_panel(scored_of(spark, sf)))
+    train, test = learned.split(features_of(spark, sf))
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("academic_year").alias("years")

@@ -152,8 +152,8 @@ define(
     f"""SELECT *, CASE WHEN pr <= 0.05 THEN 'TOP_5' WHEN pr <= 0.10 THEN 'TOP_10' WHEN pr <= 0.20 THEN 'TOP_20'
   ELSE 'STANDARD' END AS priority_bucket FROM (
   SELECT *, {RUN3} AS persistent_high_risk_flag,
-    CAST(rank() OVER (PARTITION BY academic_year ORDER BY risk_score DESC) AS INTEGER) AS state_rank,
-    CAST(rank() OVER (PARTITION BY academic_year, district ORDER BY risk_score DESC) AS INTEGER) AS district_rank,
+    rank() OVER (PARTITION BY academic_year ORDER BY risk_score DESC) AS state_rank,
+    rank() OVER (PARTITION BY academic_year, district ORDER BY risk_score DESC) AS district_rank,
     percent_rank() OVER (PARTITION BY academic_year ORDER BY risk_score DESC) AS pr
   FROM risk)""",
     "risk",
@@ -179,7 +179,7 @@ RUNNING = "sum({g}) OVER (PARTITION BY academic_year ORDER BY {o} ROWS BETWEEN U
 BATCH_ORDER = f"{LEVEL_ORDER}, risk_score DESC, {TIE}"
 define(
     "queue",
-    f"""SELECT *, CAST(row_number() OVER (PARTITION BY academic_year ORDER BY {BATCH_ORDER}) AS INTEGER)
+    f"""SELECT *, row_number() OVER (PARTITION BY academic_year ORDER BY {BATCH_ORDER})
     AS allocation_priority,
   {RUNNING.format(g='classroom_gap', o=BATCH_ORDER)} AS rooms_running,
   {RUNNING.format(g='teacher_gap', o=BATCH_ORDER)} AS teachers_running FROM trend""",

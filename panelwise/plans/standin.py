@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import flag_to_bool
-from panelwise.sources.store import input_signature, new_path, publish
+from panelwise.sources.store import new_path, publish
 
 _PUBLISHED: dict[tuple, DataFrame] = {}
 
@@ -144,14 +144,23 @@ def build_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def published(spark: SparkSession, sf_dir: str, name: str, build, partition_by=None) -> DataFrame:
-    """A table derived once per session and input, written to the shared folder and read from there."""
-    inputs = input_signature(table(spark, sf_dir, "lineitem")) + input_signature(table(spark, sf_dir, "orders"))
-    key = (spark.sparkContext.applicationId, sf_dir, inputs, name)
+    """A table derived once per session and input folder, written to the shared folder and read from there.
+
+    A session sees a folder as it stood when a table was first derived from it;
+    `forget` makes it look again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _PUBLISHED:
         _PUBLISHED[key] = publish(build(), new_path(spark, name), partition_by)
     return _PUBLISHED[key]
 
 
+def forget(sf_dir: str) -> None:
+    """Derive the tables of this folder anew from now on."""
+    for key in [k for k in _PUBLISHED if k[1] == sf_dir]:
+        del _PUBLISHED[key]
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(spark, sf_dir, "base", lambda: build_base(spark, sf_dir), ["academic_year"])
 

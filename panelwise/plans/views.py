@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away
-from panelwise.functions.windows import in_year, only, top, top_per
+from panelwise.functions.windows import in_latest_of_few, in_year, only, top, top_per
 from panelwise.operators.risk import LEVELS, level_counts
 
 
@@ -77,7 +77,7 @@ def state_budget(report: DataFrame, year: str | None = None) -> DataFrame:
 
 def district_cards(index: DataFrame, year: str | None = None) -> DataFrame:
     """Index rows of one year by rank."""
-    return in_year(index, year).select(
+    return in_latest_of_few(index, year).select(
         "district",
         "academic_year",
         "total_schools",
@@ -348,7 +348,8 @@ def latest_card(report: DataFrame, school_id: str | None = None) -> DataFrame:
 
 
 def school_history(report: DataFrame, school_id: str | None = None) -> DataFrame:
-    return pick(report, school_id=school_id).select(
+    """Years of a school in order; of all schools as they come, as a total order of everything serves nobody."""
+    rows = pick(report, school_id=school_id).select(
         "school_id",
         "academic_year",
         "total_enrolment",
@@ -358,7 +359,8 @@ def school_history(report: DataFrame, school_id: str | None = None) -> DataFrame
         F.coalesce("teacher_gap", F.lit(0)).alias("teacher_gap"),
         F.coalesce("total_teachers", F.lit(0)).alias("total_teachers"),
         "usable_class_rooms",
-    ).orderBy("school_id", "academic_year")
+    )
+    return rows if school_id is None else rows.orderBy("academic_year")
 
 
 def school_forecast(forecast: DataFrame, growth: str, school_id: str | None = None) -> DataFrame:

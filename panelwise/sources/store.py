@@ -81,18 +81,3 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple
         )
         .load()
     )
-
-
-def input_signature(df: DataFrame) -> str:
-    """Short fingerprint of the files behind a frame (path, length, change time)."""
-    import hashlib
-
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    seen = []
-    for name in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        seen.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return hashlib.md5("|".join(seen).encode()).hexdigest()[:16]

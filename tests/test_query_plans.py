@@ -30,3 +30,24 @@ def test_school_windows_share_one_exchange(spark, sf):
     text = plan(flagged)
     assert text.count("Exchange hashpartitioning(school_id") == 1 and text.count("Window [") >= 3
     assert text.count("Exchange") == 1
+
+
+def test_flagship_reads_each_raw_table_once(spark, sf):
+    text = plan(catalog.compliance_card(spark, sf))
+    for name in ("lineitem", "customer", "nation", "region"):
+        assert text.count(f"{name}.parquet") == 1, name
+
+
+def test_ranks_meet_their_rows_by_cell_and_bucket(spark, sf):
+    """No exchange of rows on (year, district, score) alone, which one score may fill."""
+    from panelwise.operators.ranking import with_ranks
+
+    df = with_ranks(catalog.scored_of(spark, sf))
+    assert dict(df.dtypes)["state_rank"] == dict(df.dtypes)["district_rank"] == "bigint"
+    joins = [line for line in plan(df).splitlines() if "Join" in line and "school_id" not in line]
+    assert any("_bucket" in line for line in joins)
+
+
+def test_histories_of_all_schools_are_not_sorted(spark, sf):
+    report = catalog.report_of(spark, sf)
+    assert "Sort" not in plan(views.school_history(report)) and "Sort" in plan(views.school_history(report, "1"))
