@@ -335,12 +335,16 @@ def feature_importance(model: GBTRegressionModel, like: DataFrame, k: int = 10)
 def learned_forecast(
     model: GBTRegressionModel, panel: DataFrame, train: DataFrame, horizons=HORIZONS, version: str = "v1.0"
 ) -> DataFrame:
-    """Forecast rows from the latest year.
+    """Forecast rows from the latest year, by a trained model."""
+    return forecast_from(predict(model, in_year(panel)), train, horizons, version)
+
+
+def forecast_from(base: DataFrame, train: DataFrame, horizons=HORIZONS, version: str = "v1.0") -> DataFrame:
+    """Forecast rows from base rows with their predicted `ml_growth`, whatever predicted it.
 
     One growth per school, shifted so that the mean equals the training
     target's, clipped, then compounded. Both means are scalar subqueries.
     """
-    base = predict(model, in_year(panel))
     shift = train.agg(F.avg("target_growth")).scalar() - base.agg(F.avg("ml_growth")).scalar()
     growth = clamp(F.col("ml_growth") + shift, -GROWTH_CAP, GROWTH_CAP)
     rows = base.withColumn("ml_growth_rate", growth)

@@ -1161,6 +1161,123 @@ def _(spark, sf):
     return learned.growth_profile(learned_of(spark, sf, "forecast"))
 
 
+# --- tables after a prediction ----------------------------------------------------------
+# The same operators on a prediction that SQL can state: last year's growth carried forward.
+
+
+def carried_of(spark: SparkSession, sf: str) -> DataFrame:
+    features = features_of(spark, sf)
+    guessed = features.withColumn("ml_growth", F.col("growth_rate"))
+    return learned.forecast_from(in_year(guessed), learned.split(features)[0], version="carried")
+
+
+def carried_quality_of(spark: SparkSession, sf: str) -> DataFrame:
+    test = learned.split(features_of(spark, sf))[1]
+    return learned.evaluate(test.withColumn("ml_growth", F.col("growth_rate")))
+
+
+QUALITY = ("growth_r2", "growth_mae", "enrolment_r2", "enrolment_mae", "enrolment_mape")
+
+
+@query(
+    "carried_forecast",
+    f"SELECT {WMA_COLUMNS.replace('avg_growth_rate', 'ml_growth_rate')}, 'carried' AS model_version FROM carried",
+    "carried",
+)
+def _(spark, sf):
+    return rounded(carried_of(spark, sf), 9, "ml_growth_rate")
+
+
+@query(
+    "carried_evaluation",
+    f"SELECT method, rows, {', '.join(rnd(q, 6) + ' AS ' + q for q in QUALITY)} FROM carried_quality",
+    "carried_quality",
+)
+def _(spark, sf):
+    return rounded(carried_quality_of(spark, sf), 6, *QUALITY)
+
+
+@query(
+    "carried_gain_over_average",
+    f"""SELECT {rnd('(w.enrolment_mae - l.enrolment_mae) / nullif(w.enrolment_mae, 0) * 100', 6)} AS mae_gain_pct,
+  {rnd('(w.enrolment_mape - l.enrolment_mape) / nullif(w.enrolment_mape, 0) * 100', 6)} AS mape_gain_pct
+FROM carried_quality l JOIN carried_quality w ON l.method = 'learned' AND w.method = 'wma'""",
+    "carried_quality",
+)
+def _(spark, sf):
+    return rounded(learned.relative_change(carried_quality_of(spark, sf)), 6, "mae_gain_pct", "mape_gain_pct")
+
+
+@query(
+    "carried_comparison",
+    f"""SELECT *, ml_cr_gap - wma_cr_gap AS cr_gap_diff, ml_tr_gap - wma_tr_gap AS tr_gap_diff FROM (
+  SELECT years_ahead, {total('projected_classroom_gap')} AS wma_cr_gap, {total('projected_teacher_gap')} AS wma_tr_gap
+  FROM wma GROUP BY 1) LEFT JOIN (
+  SELECT years_ahead, {total('projected_classroom_gap')} AS ml_cr_gap, {total('projected_teacher_gap')} AS ml_tr_gap
+  FROM carried GROUP BY 1) USING (years_ahead)""",
+    "wma",
+    "carried",
+)
+def _(spark, sf):
+    return learned.compare_forecasts(carried_of(spark, sf), forecast.wma_forecast(facts_of(spark, sf)))
+
+
+@query(
+    "carried_top_districts",
+    f"""SELECT district, {total('projected_enrolment')} AS total_proj_enrolment,
+  {total('projected_classroom_gap')} AS total_proj_cr_gap, {total('projected_teacher_gap')} AS total_proj_tr_gap,
+  {rnd('avg(ml_growth_rate)', 4)} AS avg_growth
+FROM carried WHERE years_ahead = 3 GROUP BY district ORDER BY total_proj_cr_gap DESC, district LIMIT 10""",
+    "carried",
+)
+def _(spark, sf):
+    return forecast.top_forecast_districts(carried_of(spark, sf), "ml_growth_rate")
+
+
+@query(
+    "carried_growth_profile",
+    f"""SELECT count(*) AS schools, {rnd('avg(ml_growth_rate)', 6)} AS mean_growth,
+  {rnd('median(ml_growth_rate)', 6)} AS median_growth FROM carried WHERE years_ahead = 1""",
+    "carried",
+)
+def _(spark, sf):
+    return rounded(learned.growth_profile(carried_of(spark, sf)), 6, "mean_growth", "median_growth")
+
+
+@query(
+    "carried_horizon_totals",
+    f"""SELECT years_ahead, forecast_year, {total('projected_classroom_gap')} AS cr_gap,
+  {total('projected_teacher_gap')} AS tr_gap, {rnd('avg(ml_growth_rate)', 4)} AS mean_growth,
+  {total('projected_enrolment')} AS total_enrolment FROM carried GROUP BY 1, 2""",
+    "carried",
+)
+def _(spark, sf):
+    return forecast.horizon_totals(carried_of(spark, sf), "ml_growth_rate")
+
+
+@query(
+    "carried_series",
+    """SELECT school_id, academic_year AS year, 'Historical' AS type, total_enrolment AS enrolment FROM facts
+UNION ALL SELECT school_id, forecast_year, 'ML Forecast', projected_enrolment FROM carried""",
+    "facts",
+    "carried",
+)
+def _(spark, sf):
+    return views.enrolment_series(report_of(spark, sf), carried_of(spark, sf))
+
+
+@query(
+    "carried_pairs",
+    """SELECT w.school_id, concat('T+', CAST(w.years_ahead AS VARCHAR)) AS horizon, w.projected_enrolment AS wma,
+  coalesce(c.projected_enrolment, 0) AS ml
+FROM wma w LEFT JOIN carried c ON w.school_id = c.school_id AND w.years_ahead = c.years_ahead""",
+    "wma",
+    "carried",
+)
+def _(spark, sf):
+    return views.forecast_pairs(forecast.wma_forecast(facts_of(spark, sf)), carried_of(spark, sf))
+
+
 # --- state views ----------------------------------------------------------------------
 
 KPI_SQL = f"""count(DISTINCT school_id) AS total_schools, {lvl()}, {rnd(mean4(), 4)} AS avg_risk_score,

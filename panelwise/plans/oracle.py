@@ -443,6 +443,71 @@ define(
 )
 
 
+TEST_YEAR = """(SELECT academic_year FROM (SELECT DISTINCT academic_year FROM features)
+    ORDER BY academic_year DESC LIMIT 1 OFFSET 1)"""
+define("carried0", "SELECT *, coalesce(growth_rate, 0.0)::DOUBLE AS ml_growth FROM features", "features")
+define(
+    "carried_train",
+    f"""SELECT * FROM carried0 WHERE target_growth IS NOT NULL AND academic_year <> {TEST_YEAR} AND total_enrolment >= 10
+  AND target_year <> (SELECT max(academic_year) FROM features)""",
+    "carried0",
+)
+define(
+    "carried1",
+    "SELECT * FROM carried0 WHERE academic_year = (SELECT max(academic_year) FROM features)",
+    "carried0",
+)
+define(
+    "carried2",
+    f"""SELECT school_id, district, academic_year AS base_year, total_enrolment AS base_enrolment,
+  {cap('ml_growth + ((SELECT avg(target_growth) FROM carried_train) - (SELECT avg(ml_growth) FROM carried1))')} AS ml_growth_rate,
+  usable_class_rooms AS current_classrooms, total_teachers AS current_teachers, school_category FROM carried1""",
+    "carried1",
+    "carried_train",
+)
+define(
+    "carried3",
+    """SELECT *, greatest(0, CAST(round_even(base_enrolment * pow(1.0::DOUBLE + ml_growth_rate, years_ahead), 0) AS INTEGER))
+    AS projected_enrolment,
+  concat(CAST(CAST(split_part(base_year, '-', 1) AS INTEGER) + years_ahead AS VARCHAR), '-',
+    CASE WHEN CAST(split_part(base_year, '-', 2) AS INTEGER) + years_ahead > 99
+      THEN CAST(CAST(split_part(base_year, '-', 2) AS INTEGER) + years_ahead AS VARCHAR)
+      ELSE lpad(CAST(CAST(split_part(base_year, '-', 2) AS INTEGER) + years_ahead AS VARCHAR), 2, '0') END) AS forecast_year
+FROM carried2 CROSS JOIN (VALUES (1), (2), (3)) AS h(years_ahead)""",
+    "carried2",
+)
+define(
+    "carried4",
+    f"""SELECT *, {need('projected_enrolment', NEXT_ROOM_NORM)} AS projected_classrooms_req,
+  {need('projected_enrolment', NEXT_TEACHER_NORM)} AS projected_teachers_req FROM carried3""",
+    "carried3",
+)
+define(
+    "carried",
+    f"""SELECT *, {short('projected_classrooms_req', 'current_classrooms')} AS projected_classroom_gap,
+  {short('projected_teachers_req', 'current_teachers')} AS projected_teacher_gap FROM carried4""",
+    "carried4",
+)
+define(
+    "carried_test",
+    f"""SELECT *, greatest(0.0::DOUBLE, round_even(total_enrolment * (g + 1), 0)) AS e FROM (
+  SELECT total_enrolment, next1, target_growth, method, {cap("CASE method WHEN 'learned' THEN ml_growth ELSE coalesce(wma_growth, 0.0) END")} AS g
+  FROM carried0 CROSS JOIN (VALUES ('learned'), ('wma')) AS m(method)
+  WHERE target_growth IS NOT NULL AND academic_year = {TEST_YEAR})""",
+    "carried0",
+)
+define(
+    "carried_quality",
+    """SELECT method, count(*) AS rows,
+  1 - sum((target_growth - g) * (target_growth - g)) / nullif(var_pop(target_growth) * count(*), 0) AS growth_r2,
+  avg(abs(target_growth - g)) AS growth_mae,
+  1 - sum((next1 - e) * (next1 - e)) / nullif(var_pop(next1) * count(*), 0) AS enrolment_r2,
+  avg(abs(next1 - e)) AS enrolment_mae, avg(abs(next1 - e) / greatest(next1, 1)) * 100 AS enrolment_mape
+FROM carried_test GROUP BY method""",
+    "carried_test",
+)
+
+
 def with_defs(sql: str, *needs: str) -> str:
     """A statement with the definitions it rests on."""
     order: list[str] = []
