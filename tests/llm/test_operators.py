@@ -229,6 +229,29 @@ def test_hamming_index():
     assert got == {(i, j) for i, q in enumerate(noisy) for j, p in enumerate(base) if int(q ^ p).bit_count() <= 15}
 
 
+def test_passages_just_above_the_threshold():
+    import pyarrow as pa
+
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.choice([1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12]))) for _ in range(3000)]
+
+    def bag(w):
+        return collections.Counter({s: sum(len(x) for x in s) * n for s, n in collections.Counter(zip(*(w[i:] for i in range(5)))).items()})
+
+    items, copies = [], []
+    while len(items) < 3000:
+        w = [r.choice(vocabulary) for _ in range(r.choice([14, 14, 18, 24, 40]))]
+        edited = list(w)
+        for _ in range(r.randint(1, max(2, len(w) // 20))):
+            edited[r.choice([0, len(w) - 1, r.randrange(len(w))])] = r.choice(vocabulary)
+        of, other = bag(w), bag(edited)
+        if 0.8 <= sum((of & other).values()) / sum((of | other).values()) < 0.85:
+            items.append(" ".join(w))
+            copies.append(" ".join(edited))
+    found = decontaminate.Benchmark(list(range(len(items))), items).matches(pa.array(copies))
+    assert [i for i, ms in enumerate(found) if i not in {m[0] for m in ms}] == []
+
+
 def test_personal_data(spark, texts, edges, nothing):
     def plain(t):
         out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
