@@ -278,6 +278,27 @@ def test_personal_data(spark, texts, edges, nothing):
     assert pii.find_personal_data(edges).count() == len(EDGES) and pii.find_personal_data(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("to 8[.]8[.]8[.]8 now", ["8[.]8[.]8[.]8"]),
+        ("10[.]0[.]0[.]1", ["10[.]0[.]0[.]1"]),
+        ("8(.)8(.)4(.)4 x", ["8(.)8(.)4(.)4"]),
+        ("4111 1111 1111 1111 (555) 123-4567", ["4111 1111 1111 1111", "(555) 123-4567"]),
+        ("10.20.30.40 (555) 123-4567", ["10.20.30.40", "(555) 123-4567"]),
+        ("jo.smith (at) mail (dot) example (dot) com x", ["jo.smith (at) mail (dot) example (dot) com"]),
+        ("ann.b.c.d [at] one [dot] two [dot] three [dot] org", ["ann.b.c.d [at] one [dot] two [dot] three [dot] org"]),
+        ("card 4111/1111/1111/1111 x", ["4111/1111/1111/1111"]),
+        ("x 4 1 1 1  1 1 1 1  1 1 1 1  1 1 1 1 y", ["4 1 1 1  1 1 1 1  1 1 1 1  1 1 1 1"]),
+        ("12345678901.12345678901 (at) mail (dot) com", ["12345678901.12345678901 (at) mail (dot) com"]),
+        ("v 1[.]2[.]3 and 300[.]1[.]999[.]4", []),
+    ],
+)
+def test_personal_data_of_every_shape(text, want):
+    base, added = pii.find(text, dict(pii.train()))
+    assert [text[a:b] for _, a, b in sorted(base + added, key=lambda s: s[1])] == want
+
+
 def test_main_text(spark, sf):
     page = """<html><head><title>x</title></head><body><header class=site-header><h1>Site</h1></header><div id=cookieNotice><p>We use
     cookies and the site is for you and all of the others in it.</p></div><div class="content"><h2>The&nbsp;news</h2><p>This is the text of
