@@ -59,9 +59,10 @@ STOP_WORDS = frozenset(
     "el los las y en que del se por con una su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre".split()
 )
 
-_QUOTED = r"\"[^\"]{0,9999}\"|'[^']{0,9999}'"
-_MARK = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:{_QUOTED})[^>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_OTHER_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+_QUOTE_OR_END = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„‘’«»–—"
@@ -181,27 +182,48 @@ def _described(attributes: str) -> tuple[set[str], str, bool]:
     return names, role, hidden
 
 
+def _tag_end(html: str, at: int, failed: set[int]) -> int:
+    """Place of the > that ends a tag, quoted values of any length skipped; with an open quote, of the first >; or -1.
+
+    `failed` keeps the places outside quotes from which no end was found, so that all searches of a page are linear.
+    """
+    begin, seen = at, []
+    while (m := _QUOTE_OR_END.search(html, at)) and m.start() not in failed:
+        if m.group() == ">":
+            return m.start()
+        seen.append(m.start())
+        close = html.find(m.group(), m.end())
+        if close < 0:
+            break
+        at = close + 1
+    failed.update(seen)
+    return html.find(">", begin)
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of a page in order, without scripts, styles, comments and markup."""
     page, at, last = _Page(), 0, html.rfind(">")
+    failed: set[int] = set()
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
             page.text(html[at:])
             break
         page.text(html[at:lt])
-        mark = _MARK.match(html, lt) if lt <= last or html.startswith(("<!", "<?", "</"), lt) else None
-        if not mark:
+        mark = _TAG.match(html, lt) if lt <= last else None
+        end = _tag_end(html, mark.end(), failed) if mark else -1
+        other = _OTHER_MARK.match(html, lt) if end < 0 else None
+        if other:
+            at = other.end()
+            continue
+        if end < 0:
             if html[lt + 1 : lt + 2].isalpha() and lt > last:
                 break  # cut off in a tag
             page.text("<")
             at = lt + 1
             continue
-        at = mark.end()
-        ends, tag, attributes = mark.group(1, 2, 3) if mark.group(2) else mark.group(4, 5, 6)
-        if not tag:
-            continue
-        tag = tag.lower()
+        at = end + 1
+        ends, tag, attributes = mark.group(1), mark.group(2).lower(), html[mark.end() : end]
         if ends:
             if tag == "p" and not page.opened["p"]:
                 page.flush()

@@ -318,6 +318,15 @@ def test_main_text(spark, sf):
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_long_attributes():
+    kept = "This is the text of the story and it is long enough to be kept by rules."
+    for value in ("<p>x</p>" * 2500, "<svg><article>it is not the text of the page</article></svg>" * 400):
+        for quote in "\"'":
+            assert html.main_text(f"<div><p>{kept}<img src={quote}{value}{quote}> More</p></div>") == f"{kept} More"
+    open_quotes = '<a b=">"' * 100_000
+    assert html.main_text(f"<article><p>{kept}</p>{open_quotes}") and html.main_text("<div a='" + "a" * 200_000 + f"><p>{kept}</p>") == kept
+
+
 def test_license_notices(spark, texts, edges, nothing):
     known = {"GNU General Public License": "gpl", "CC BY-NC": "cc-by-nc", "MIT License": "mit", "Apache License": "apache"}
     given = {**texts, 10**6: "The license of the story was read under the bridge.\nAll of it.", 10**6 + 1: "x\n\nReleased under the MIT License."}
