@@ -4,8 +4,12 @@ A page is cut at block tags. Pass one decides each block from the container it
 stands in, its link density, its length and the density of stop words: blocks in
 menus, adverts, forms and the like and blocks of links are left out, long blocks
 and blocks with enough stop words are kept, short ones stay open. Where a page
-marks its article, only the article can hold main text. Pass two gives open
-blocks the label of the nearest decided neighbour, inside the article first.
+marks its article, only the article can hold main text. Where it does not, long
+blocks without enough stop words stay open too, and are kept if most words of the
+page's long blocks stand in such blocks: the stop words are English, German, French
+and Spanish, so the page is in another language, or a table or code. Pass two gives
+open blocks the label of the nearest decided neighbour, inside the article first.
+In scripts written without blanks two characters count as a word.
 
 Null and empty pages give an empty text. Repeated pages stand for themselves.
 Unclosed tags end with the block that holds them; a page cut off in a tag or
@@ -63,6 +67,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _OTHER_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{2}")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„‘’«»–—"
@@ -91,6 +96,11 @@ class _Open:
     link: bool
 
 
+def _word_count(words: list[str]) -> int:
+    """Words; of scripts without blanks two characters count as one."""
+    return len(words) if all(map(str.isascii, words)) else sum(max(len(_UNSPACED.findall(w)), 1) for w in words)
+
+
 _ROOT = _Open("", False, False, False)
 
 
@@ -121,8 +131,8 @@ class _Page:
         words = unescape("".join(self.parts)).split()
         if words:
             state = self.top()
-            linked = len(unescape(" ".join(self.linked)).split()) if self.linked else 0
-            self.blocks.append(Block(" ".join(words), len(words), linked, state.unwanted, state.article))
+            linked = _word_count(unescape(" ".join(self.linked)).split()) if self.linked else 0
+            self.blocks.append(Block(" ".join(words), _word_count(words), linked, state.unwanted, state.article))
         self.parts, self.linked = [], []
 
     def open(self, tag: str, attributes: str) -> None:
@@ -243,6 +253,9 @@ def labels(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
     marked = any(b.article and not b.unwanted for b in found)
     decided: list[bool | None] = []
+    long = [] if marked else [b for b in found if not b.unwanted and b.words >= LONG_WORDS and b.link_words <= LINK_DENSITY * b.words]
+    # whether most of the text is in none of the languages of the stop words
+    other = sum(b.words if b.has_stop_words(STOP_DENSITY) else -b.words for b in long) < 0
     for b in found:
         if b.unwanted or marked and not b.article:
             decided.append(False)
@@ -252,8 +265,8 @@ def labels(found: list[Block]) -> list[bool]:
             decided.append(True)
         elif b.has_stop_words(STOP_DENSITY) and (b.article or b.words >= LONG_WORDS):
             decided.append(True)
-        elif not b.article and b.words >= 2 * LONG_WORDS and not b.has_stop_words(STOP_DENSITY / 4):
-            decided.append(False)
+        elif other and b.words >= LONG_WORDS:
+            decided.append(True)
         else:
             decided.append(None)
     counts = [label is not None and (not marked or b.article and not b.unwanted) for b, label in zip(found, decided)]

@@ -327,6 +327,30 @@ def test_long_attributes():
     assert html.main_text(f"<article><p>{kept}</p>{open_quotes}") and html.main_text("<div a='" + "a" * 200_000 + f"><p>{kept}</p>") == kept
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Вчера вечером жители города собрались возле старой площади чтобы обсудить новый мост через реку которую давно хотели соединить две части района",
+        "Wczoraj wieczorem mieszkańcy miasta zebrali się obok starego rynku aby omówić nowy most przez rzekę która od dawna dzieli dwie części dzielnicy",
+        "Dün akşam şehir halkı eski meydanın yanında toplandı ve nehrin üzerine yapılacak yeni köprüyü konuştu çünkü mahalle yıllardır ikiye bölünmüş durumda yaşıyor herkes",
+        "Χθες το βράδυ οι κάτοικοι της πόλης μαζεύτηκαν κοντά στην παλιά πλατεία για να συζητήσουν τη νέα γέφυρα πάνω από το ποτάμι μας",
+        "어제 저녁 도시 주민들은 오래된 광장 근처에 모여 강을 가로지르는 새로운 다리에 대해 이야기했다 그 강은 오랫동안 두 지역을 나누어 왔고 모두가 그것을 원했다",
+        "昨日の夜、町の人々は古い広場の近くに集まり、川に架かる新しい橋について話し合いました。その川は長い間二つの地区を分けてきました。",
+        "Ieri sera gli abitanti della città si sono riuniti vicino alla vecchia piazza per discutere del nuovo ponte sopra il fiume che divide due quartieri",
+    ],
+)
+def test_main_text_of_other_languages(line):
+    page = f"<body><div class=menu><a href=a>A</a> <a href=b>B</a></div><div>{line}</div><p>1 2</p><div>{line} x</div><div class=footer>{line}</div></body>"
+    assert html.main_text(page) == f"{line}\n1 2\n{line} x"
+
+
+def test_main_text_with_long_code():
+    code = "for i = 0; i < n; i++ { x[i] = v[i] + z[i]; } while j < m { j += 1; k -= 1; } return x, v, z, k, j, m, n;"
+    story = "This is the text of the story and it is long enough to be kept by the rules of this page, as it goes on for more than the few words that the code below it has."
+    page = f"<div><a href=x>Home</a></div><div>{story}</div><pre>{code.replace('<', '&lt;')}</pre><div>{story}</div>"
+    assert html.main_text(page) == f"{story}\n{code}\n{story}"
+
+
 def test_license_notices(spark, texts, edges, nothing):
     known = {"GNU General Public License": "gpl", "CC BY-NC": "cc-by-nc", "MIT License": "mit", "Apache License": "apache"}
     given = {**texts, 10**6: "The license of the story was read under the bridge.\nAll of it.", 10**6 + 1: "x\n\nReleased under the MIT License."}
