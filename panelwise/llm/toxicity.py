@@ -171,6 +171,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _begins_like(word: str, entries: Iterable[str]) -> bool:
+    """Whether ' word ' begins with an entry."""
+    return any(word[:n] in entries for n in range(LEAST_PREFIX + 1, len(word)))
+
+
+def _words_like(entries: set[str]):
+    """How often the words that begin like an entry stand in each class, summed up within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list[int]] = {}
+        for batch in batches:
+            for toxic, text in zip(batch.column("toxic").to_pylist(), strings(batch.column("text")).to_pylist()):
+                for w, n in Counter(fold(text).split()).items():
+                    if _begins_like(f" {w} ", entries):
+                        sums.setdefault(w, [0, 0])[min(toxic, 1)] += n
+        columns = list(zip(*sums.values())) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["f", "clean", "toxic"])
+
+    return run
+
+
 def choose(counts: Iterable[tuple[str, int, int, int]]) -> tuple[dict[str, float], list[str]]:
     """Entries with their weights, and learned exceptions, from counts by feature."""
     rows = {f: (c, t, n) for f, c, t, n in counts}
@@ -191,7 +212,7 @@ def choose(counts: Iterable[tuple[str, int, int, int]]) -> tuple[dict[str, float
     harmless = [
         f.strip()
         for f, (c, t, _) in rows.items()
-        if f.endswith(" ") and c >= LEAST_DOCUMENTS and ratio(c, t) <= 0 and any(f[:n] in entries for n in range(LEAST_PREFIX + 1, len(f)))
+        if f.endswith(" ") and c >= LEAST_DOCUMENTS and ratio(c, t) <= 0 and _begins_like(f, entries)
     ]
     return entries, sorted(harmless)
 
@@ -220,6 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), mo
     # bounded by the sample: features that enough of its toxic documents hold
     counts = [tuple(r) for r in sums.where((F.col("docs") >= LEAST_DOCUMENTS) | (F.col("f") == "")).collect()]
     entries, harmless = choose(counts)
+    if entries:  # words of clean documents alone are not among the counts; bounded by the sample too
+        like = rows.select("toxic", "text").mapInArrow(_words_like(set(entries)), "f string, clean bigint, toxic bigint")
+        like = like.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic")]).where(F.col("clean") >= LEAST_DOCUMENTS)
+        total = next(r for r in counts if r[0] == "")
+        harmless += [r.f for r in like.collect() if (r.toxic + 0.5) * (total[1] + 1) <= (r.clean + 0.5) * (total[2] + 1)]
     lexicon = Lexicon(tuple(sorted(entries.items())), tuple(sorted({*exceptions, *harmless})), (0.0, 0.0, 0.0))
 
     def measured(batches):

@@ -181,6 +181,17 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.keep_clean(edges, untrained).count() == len(EDGES) and toxicity.keep_clean(nothing, untrained).count() == 0
 
 
+def test_toxicity_exceptions_of_clean_texts_alone(spark):
+    toxic = [f"you grobian{'' if i % 2 else 'e'} of words" for i in range(100)]
+    clean = [f"the day of words {'grobschmied' if i % 10 == 0 else 'smith'}" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], "doc_id bigint, toxic int")
+    lexicon = toxicity.train(docs, labels)
+    assert any(" grobschmied".startswith(e) for e, _ in lexicon.weights) and lexicon.exceptions == ("grobschmied",)
+    assert toxicity.matched(toxicity.fold("a grobschmied"), lexicon.automaton()) == (0.0, 2)
+    assert toxicity.matched(toxicity.fold("a grobian"), lexicon.automaton())[0] > 0
+
+
 def passages(given, items):
     """(doc, item) with a window of the item's size whose weighted similarity is 0.8 or more, by trying all windows."""
 
