@@ -35,6 +35,7 @@ MOST_NGRAMS = 5_000
 COMMON_SHARE = 0.01
 HELD_BACK = 3
 CONFIRMED = 0.6
+OWN_SHARE = 0.6
 
 # Notices of each family as they are commonly written.
 TEMPLATES = {
@@ -43,6 +44,9 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This project is released under the terms of the Apache License 2.0.",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -59,6 +63,9 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Distributed under the GNU GPL v2 or later.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -159,7 +166,9 @@ class Model:
         for _, grams in self.template_grams.values():
             pairs = sorted(g for g in grams if " " in g)
             shared = F.size(F.array_intersect("grams", F.array(*map(F.lit, pairs))))
-            notice = notice | (shared >= 0.5 * len(pairs))
+            own = F.size(F.filter("grams", lambda g: g.contains(" ")))
+            # a line of a wrapped notice holds little of the template, but little else
+            notice = notice | (shared >= 0.5 * len(pairs)) | ((shared >= 2) & (shared >= OWN_SHARE * own))
         other = scratch(other.where(~notice), "plain")
         # n-grams of ordinary text say nothing and would match everywhere
         n = other.count()

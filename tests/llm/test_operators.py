@@ -374,6 +374,21 @@ def test_license_notices(spark, texts, edges, nothing):
     assert licenses.Model(nothing).vocabulary
 
 
+def test_wrapped_license_headers(spark, texts):
+    import textwrap
+
+    header = " ".join(licenses.TEMPLATES["gpl"][1:2] + licenses.TEMPLATES["gpl"][3:])
+    wrapped = [f" * {line}" for line in textwrap.wrap(header, 70)]
+    plain = [t for t in texts.values() if t][:80]
+    rows = [(i, "\n".join([*wrapped, f"int x{i} = {i};", "return x;"])) for i in range(40)] + list(enumerate(plain, 40))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = licenses.Model(docs)
+    found = licenses.scan(docs.where("doc_id = 0"), model).where("confirmed").collect()
+    lines = {r.paragraph for r in found if r.family == "gpl"}
+    assert all(i in lines for i, line in enumerate(wrapped) if "General Public License" in line)
+    assert all(r.paragraph < len(wrapped) for r in found) and {"free software", "redistribute it"} <= model.lexicon
+
+
 def test_chat_round_trip(spark):
     r = random.Random(5)
     for _ in range(3000):
