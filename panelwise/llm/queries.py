@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwise.llm import chat, decontaminate, exact, html, jaccard, licenses, mixing, pii, tokens, toxicity
+from panelwise.llm import chat, decontaminate, exact, html, jaccard, licenses, merkle, mixing, pii, secrets, tokens, toxicity
 from panelwise.llm.common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,14 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(tokens.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER, END_ID))
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": personal_data,
     "op2_main_text": main_text,
@@ -69,6 +78,8 @@ QUERIES = {
     "op8_toxicity": toxicity_scores,
     "op9_exact_dedup": exact_dedup,
     "op10_token_ids": token_ids,
+    "op11_secrets": secret_scan,
+    "op13_merkle_manifest": merkle_manifest,
 }
 
 ORACLE = {
@@ -125,4 +136,60 @@ ORACLE = {
             row_number() OVER (PARTITION BY squeezed ORDER BY n DESC, doc_id) = 1 AS kept, sha256(squeezed) AS text_sha256
           FROM d)
         SELECT * FROM g""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS name FROM documents),
+        bits AS (
+          SELECT *, list_reduce([4294967295] || flatten(list_transform(range(1, length(name) + 1),
+              lambda i: [ascii(name[i]), -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS reversed_crc
+          FROM d),
+        f AS (
+          SELECT *, concat(
+              coalesce(octet_length(encode(name)) || ':' || name, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+              coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+            CASE WHEN xor(reversed_crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut
+          FROM bits),
+        h AS (
+          SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+            sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) AS tampered
+          FROM f),
+        l AS (
+          SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+          FROM h),
+        inner_nodes AS (
+          SELECT 0 AS level, source, place, n, leaf AS digest FROM l
+          UNION ALL
+          SELECT level + 1, source, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+          FROM inner_nodes WHERE n > 1 GROUP BY level, source, place // 3, n),
+        tops AS (
+          SELECT source, level AS height, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS source_place, count(*) OVER () AS sources
+          FROM inner_nodes WHERE n = 1),
+        outer_nodes AS (
+          SELECT 0 AS level, source_place AS place, sources AS n, subroot AS digest FROM tops
+          UNION ALL
+          SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+          FROM outer_nodes WHERE n > 1 GROUP BY level, place // 3, n),
+        whole AS (SELECT digest AS root FROM outer_nodes WHERE n = 1),
+        nodes AS (
+          SELECT coalesce('=' || source, '') AS key, level, place, n, digest FROM inner_nodes
+          UNION ALL SELECT NULL, level, place, n, digest FROM outer_nodes),
+        walk AS (
+          SELECT row_number() OVER () AS id, l.doc_id, coalesce('=' || l.source, '') AS key, coalesce('=' || l.source, '') AS tree, 0 AS level, l.place, l.n,
+            l.tampered AS digest, '' AS proof, t.source_place, t.sources, l.leaf, t.subroot
+          FROM l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+          UNION ALL
+          SELECT * FROM (
+            SELECT w.id, w.doc_id, w.key, w.tree, w.level + 1, w.place // 3, (w.n + 2) // 3,
+              sha256(string_agg(CASE WHEN x.place = w.place THEN w.digest ELSE x.digest END, '' ORDER BY x.place)),
+              w.proof || coalesce(string_agg(CASE WHEN x.place <> w.place THEN x.digest END, '' ORDER BY x.place), ''),
+              w.source_place, w.sources, w.leaf, w.subroot
+            FROM walk w JOIN nodes x ON x.key IS NOT DISTINCT FROM w.tree AND x.level = w.level AND x.place // 3 = w.place // 3
+            WHERE w.n > 1
+            GROUP BY w.id, w.doc_id, w.key, w.tree, w.level, w.place, w.n, w.digest, w.proof, w.source_place, w.sources, w.leaf, w.subroot
+            UNION ALL
+            SELECT w.id, w.doc_id, w.key, NULL, 0, w.source_place, w.sources, w.digest, w.proof, w.source_place, w.sources, w.leaf, w.subroot
+            FROM walk w WHERE w.n = 1 AND w.tree IS NOT NULL))
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+        FROM walk, whole WHERE tree IS NULL AND n = 1""",
 }
