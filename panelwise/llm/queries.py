@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwise.llm import chat, decontaminate, exact, html, jaccard, licenses, merkle, mixing, pii, secrets, tokens, toxicity
+from panelwise.llm import chat, decontaminate, exact, html, jaccard, licenses, merkle, mixing, negatives, pii, secrets, tokens, toxicity
 from panelwise.llm.common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +64,12 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup,
     "op10_token_ids": token_ids,
     "op11_secrets": secret_scan,
+    "op12_hard_negatives": hard_negatives,
     "op13_merkle_manifest": merkle_manifest,
 }
 
@@ -136,6 +144,24 @@ ORACLE = {
             row_number() OVER (PARTITION BY squeezed ORDER BY n DESC, doc_id) = 1 AS kept, sha256(squeezed) AS text_sha256
           FROM d)
         SELECT * FROM g""",
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+          SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+            CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+          FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op13_merkle_manifest": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS name FROM documents),
