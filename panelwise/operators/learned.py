@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelwise.functions.exprs import clamp, ratio
 from panelwise.functions.norms import DEFAULT_CATEGORY
 from panelwise.functions.windows import by_school, in_year, only, previous
+from panelwise.operators.boosting import HuberModel, fit_huber
 from panelwise.operators.forecast import (
     GROWTH_CAP,
     HORIZONS,
@@ -60,7 +61,7 @@ class BoostingSettings:
     sample: float = 0.8
     min_leaf: int = 100
     seed: int = 42
-    loss: str = "absolute"
+    loss: str = "huber"
     patience: int = 30
     tolerance: float = 1e-5
 
@@ -210,15 +211,19 @@ def rounds_to_keep(errors: list[float], patience: int, tolerance: float) -> int:
     return len(errors)
 
 
-def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GBTRegressionModel:
-    """Boosted trees, stopped early on held-out rows.
+def fit(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GBTRegressionModel | HuberModel:
+    """Boosted trees, stopped early on held-out rows: with Huber loss, or with one of MLlib's losses.
 
-    The built-in early stop ends at the first round without improvement. To
-    allow a patience, all rounds are fitted, the held-out error of each prefix
-    is read off, and if a shorter run is enough it is fitted again; with the
-    same seed its trees are those of the prefix.
+    MLlib's built-in early stop ends at the first round without improvement. To
+    allow a patience there, all rounds are fitted, the held-out error of each
+    prefix is read off, and if a shorter run is enough it is fitted again; with
+    the same seed its trees are those of the prefix.
     """
-    marked = assembled(with_held_out(train)).select("features", "target_growth", "held_out")
+    rows = assembled(with_held_out(train))
+    if settings.loss == "huber":
+        keyed = rows.withColumn("_key", F.xxhash64("school_id", "academic_year"))
+        return fit_huber(keyed, FEATURES, "target_growth", settings)
+    marked = rows.select("features", "target_growth", "held_out")
     kept, held = marked.where(~F.col("held_out")), marked.where("held_out")
     booster = _booster(settings)
     model = booster.fit(kept)
@@ -244,29 +249,28 @@ def _booster(settings: BoostingSettings) -> GBTRegressor:
     )
 
 
-def fit_once(train: DataFrame, settings: BoostingSettings = BoostingSettings()) -> GBTRegressionModel:
-    """Boosted trees in a single training, which ends when a round raises the error on held-out rows."""
-    marked = assembled(with_held_out(train)).select("features", "target_growth", "held_out")
-    return (
-        _booster(settings).setValidationIndicatorCol("held_out").setParams(validationTol=0.0).fit(marked)
-    )
+def fit_best(
+    train: DataFrame, settings: BoostingSettings = BoostingSettings(), losses=("huber", "absolute", "squared")
+) -> GBTRegressionModel | HuberModel:
+    """Fit one model per loss and keep the one with the smallest held-out absolute error."""
+    return min((fit(train, replace(settings, loss=loss)) for loss in losses), key=lambda model: held_out_miss(model, train))
 
 
-def fit_best(
-    train: DataFrame, settings: BoostingSettings = BoostingSettings(), losses=("absolute", "squared"), fit=fit
-) -> GBTRegressionModel:
-    """Fit one model per loss and keep the one with the smaller held-out absolute error."""
-    held = with_held_out(train).where("held_out")
+def held_out_miss(model: GBTRegressionModel | HuberModel, train: DataFrame) -> float:
+    """Mean absolute error on the held-out tenth of the training rows."""
+    rows = predict(model, with_held_out(train).where("held_out"))
+    return rows.agg(F.avg(F.abs(F.col("target_growth") - F.col("ml_growth")))).first()[0]
 
-    def miss(model: GBTRegressionModel) -> float:
-        rows = predict(model, held)
-        return rows.agg(F.avg(F.abs(F.col("target_growth") - F.col("ml_growth")))).first()[0]
 
-    models = [fit(train, replace(settings, loss=loss)) for loss in losses]
-    return min(models, key=miss)
+def training_rounds(model: HuberModel, like: DataFrame) -> DataFrame:
+    """Per round: delta, held-out loss and held-out absolute error (numbers that the model holds)."""
+    rows = [(i, *map(float, x)) for i, x in enumerate(zip(model.deltas, model.losses, model.misses), start=1)]
+    return like.sparkSession.createDataFrame(rows, "round int, delta double, held_out_loss double, held_out_mae double")
 
 
-def predict(model: GBTRegressionModel, rows: DataFrame, as_name: str = "ml_growth") -> DataFrame:
+def predict(model: GBTRegressionModel | HuberModel, rows: DataFrame, as_name: str = "ml_growth") -> DataFrame:
+    if isinstance(model, HuberModel):
+        return rows.withColumn(as_name, model.prediction())
     return model.transform(assembled(rows)).withColumnRenamed("prediction", as_name).drop("features")
 
 
@@ -304,7 +308,7 @@ def evaluate(predicted: DataFrame) -> DataFrame:
     )
 
 
-def training_fit(model: GBTRegressionModel, train: DataFrame) -> DataFrame:
+def training_fit(model: GBTRegressionModel | HuberModel, train: DataFrame) -> DataFrame:
     """One row: R2 of the clipped growth on the training rows."""
     rows = predict(model, train).withColumn("_g", clamp("ml_growth", -GROWTH_CAP, GROWTH_CAP))
     return rows.agg(_quality(F.col("target_growth"), F.col("_g"))[0].alias("growth_r2_train"))
@@ -324,7 +328,7 @@ def relative_change(evaluation: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance(model: GBTRegressionModel, like: DataFrame, k: int = 10) -> DataFrame:
+def feature_importance(model: GBTRegressionModel | HuberModel, like: DataFrame, k: int = 10) -> DataFrame:
     """Top features (20 numbers held by the model)."""
     pairs = sorted(zip(FEATURES, model.featureImportances.toArray()), key=lambda p: (-p[1], p[0]))[:k]
     return like.sparkSession.createDataFrame(
@@ -333,7 +337,7 @@ def feature_importance(model: GBTRegressionModel, like: DataFrame, k: int = 10)
 
 
 def learned_forecast(
-    model: GBTRegressionModel, panel: DataFrame, train: DataFrame, horizons=HORIZONS, version: str = "v1.0"
+    model: GBTRegressionModel | HuberModel, panel: DataFrame, train: DataFrame, horizons=HORIZONS, version: str = "v1.0"
 ) -> DataFrame:
     """Forecast rows from the latest year, by a trained model."""
     return forecast_from(predict(model, in_year(panel)), train, horizons, version)

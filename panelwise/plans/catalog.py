@@ -103,17 +103,18 @@ def features_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def learned_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Tables made from one training run: forecast, evaluation, fit, importance."""
+    """Tables made from one training run: forecast, evaluation, fit, importance, rounds."""
 
     def build():
         features = features_of(spark, sf)
         train, test = learned.split(features)
-        model = learned.fit_best(train, fit=learned.fit_once)
+        model = learned.fit(train)
         tables = {
             "forecast": learned.learned_forecast(model, features, train),
             "evaluation": learned.evaluate(learned.predict(model, test)),
             "fit": learned.training_fit(model, train),
             "importance": learned.feature_importance(model, features),
+            "rounds": learned.training_rounds(model, features),
         }
         for part, df in tables.items():
             if part != name:  # the caller publishes this one
@@ -1136,6 +1137,11 @@ def _(spark, sf):
     return learned_of(spark, sf, "fit")
 
 
+@query("model_rounds")
+def _(spark, sf):
+    return learned_of(spark, sf, "rounds")
+
+
 @query("feature_importance")
 def _(spark, sf):
     return learned_of(spark, sf, "importance")

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -127,5 +129,8 @@ def test_early_stop_and_choice_of_loss(trained):
     full = learned.fit(train, learned.BoostingSettings(rounds=6, step=0.9, min_leaf=5, loss="squared"))
     errors = full.evaluateEachIteration(kept.where("held_out"), "squared")
     assert model.getNumTrees == learned.rounds_to_keep(errors, 2, 1e-5)
-    best = learned.fit_best(train, learned.BoostingSettings(rounds=4, step=0.3, min_leaf=5))
+    settings = learned.BoostingSettings(rounds=4, step=0.3, min_leaf=5)
+    best = learned.fit_best(train, settings)
     assert best.getNumTrees == 4
+    misses = [learned.held_out_miss(learned.fit(train, replace(settings, loss=loss)), train) for loss in ("huber", "absolute", "squared")]
+    assert learned.held_out_miss(best, train) == pytest.approx(min(misses))
