@@ -66,6 +66,11 @@ def exact_mean(col, digits: int = 4) -> Column:
     return units / F.lit(scale) / F.nullif(F.count(col), F.lit(0))
 
 
+def schools(keyed: bool = False) -> Column:
+    """Number of schools of rows of one year. With a checked key every row is another one."""
+    return F.count("school_id") if keyed else F.countDistinct("school_id")
+
+
 def count_if(cond) -> Column:
     """How many rows satisfy a condition, 0 for none."""
     return F.count(F.when(cond, F.lit(1)))

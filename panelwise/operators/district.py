@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away
+from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away, schools
 from panelwise.functions.windows import in_latest_of_few, only, top
 from panelwise.operators.risk import HIGH_LEVELS
 
@@ -23,19 +23,20 @@ def grade(mean_risk):
     return expr.otherwise(LOWEST_GRADE)
 
 
-def district_rollup(scored: DataFrame) -> DataFrame:
+def district_rollup(scored: DataFrame, keyed: bool = False) -> DataFrame:
     """One row per district and year. The grade comes from the unrounded mean.
 
-    Partial aggregation reduces every input partition to districts x years
+    `keyed` says that school and year are known to be a key (`store.is_key`).
+    Partial aggregation then reduces every input partition to districts x years
     rows before the shuffle, so a district that holds most schools costs
-    nothing extra.
+    nothing extra; otherwise schools are counted as distinct values, row by row.
     """
     rows = only(scored, "has_school").where(F.col("risk_score").isNotNull())
     return (
         rows.withColumn("district", F.coalesce("district", F.lit("UNKNOWN")))
         .groupBy("district", "academic_year")
         .agg(
-            F.countDistinct("school_id").alias("total_schools"),
+            schools(keyed).alias("total_schools"),
             exact_mean("risk_score").alias("_mean"),
             pct(count_if(F.col("risk_level").isin(HIGH_LEVELS)), F.count(F.lit(1)), 2).alias("pct_high_critical"),
             F.sum(F.when(F.col("classroom_gap") > 0, F.col("classroom_gap")).otherwise(0)).alias(
@@ -64,10 +65,10 @@ def with_change_and_rank(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("yoy_risk_improvement", change).withColumn("district_rank", F.rank().over(year))
 
 
-def district_index(scored: DataFrame) -> DataFrame:
+def district_index(scored: DataFrame, keyed: bool = False) -> DataFrame:
     """The published index table."""
     return (
-        scored.transform(district_rollup)
+        scored.transform(district_rollup, keyed)
         .transform(with_change_and_rank)
         .select(
             "district",

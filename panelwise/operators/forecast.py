@@ -91,15 +91,20 @@ def wma_forecast(facts: DataFrame, year: str | None = None, horizons=HORIZONS) -
     )
 
 
-def forecast_summary(forecast: DataFrame, growth: str = "avg_growth_rate") -> DataFrame:
-    """One row per base year: counts, labels, means and gap sums by horizon."""
+def forecast_summary(forecast: DataFrame, growth: str = "avg_growth_rate", keyed: bool = False) -> DataFrame:
+    """One row per base year: counts, labels, means and gap sums by horizon.
+
+    `keyed` says that schools and years are known to be a key of the facts
+    (`store.is_key`); each school then has one row at the first horizon.
+    """
+    first = F.when(F.col("years_ahead") == HORIZONS[0], F.col("school_id"))
 
     def at(k: int, gap: str) -> Column:
         return F.sum(F.when(F.col("years_ahead") == k, F.col(gap)).otherwise(0))
 
     return forecast.groupBy("base_year").agg(
         F.count(F.lit(1)).alias("total_records"),
-        F.countDistinct("school_id").alias("unique_schools"),
+        (F.count(first) if keyed else F.countDistinct("school_id")).alias("unique_schools"),
         F.min("forecast_year").alias("first_forecast"),
         F.max("forecast_year").alias("last_forecast"),
         round_half_away(F.avg(growth), 4).alias("mean_growth"),

@@ -21,7 +21,7 @@ from panelwise.operators.forecast import (
     with_horizons,
     with_projected_gaps,
 )
-from panelwise.operators.ordered import exact_percentiles
+from panelwise.operators.ordered import exact_percentiles, label_codes, with_code
 
 # The features in order, smallest school in training, volatility cap.
 FEATURES = [
@@ -89,23 +89,24 @@ def extract(scored: DataFrame) -> DataFrame:
     )
 
 
-def label_code(df: DataFrame, column: str) -> Column:
-    """Position of a label among the sorted distinct labels.
+# The labels that are coded, by the feature that holds the code.
+CODED = {"district_code": "district", "management_code": "management_type"}
 
-    The label list is one small scalar value (names of districts or management
-    types), gathered with map-side partial sets.
-    """
-    label = F.coalesce(F.col(column), F.lit(UNKNOWN_LABEL))
-    labels = df.agg(F.sort_array(F.collect_set(label))).scalar()
-    return (F.array_position(labels, label) - 1).cast("int")
+
+def label(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(UNKNOWN_LABEL))
 
 
 def feature_panel(scored: DataFrame) -> DataFrame:
     """The 20 features, the averaging baseline and the targets, one row per school-year.
 
-    All windows share the school partitioning, so there is one exchange.
+    All windows share the school partitioning, so there is one exchange. Codes
+    of labels come from a published table (`ordered.label_codes`).
     """
     df = extract(scored)
+    codes = label_codes(df, {name: label(column) for name, column in CODED.items()})
+    for name, column in CODED.items():
+        df = with_code(df, codes, name, label(column), name)
     cur, lag1 = F.col("total_enrolment"), F.col("enrolment_lag1")
     base = F.greatest(lag1, F.lit(1))
     size = F.greatest(cur, F.lit(1))
@@ -126,8 +127,6 @@ def feature_panel(scored: DataFrame) -> DataFrame:
                 "_spread": F.stddev_samp("total_enrolment").over(last3),
                 "target_enrolment": next_value,
                 "target_year": F.lead("academic_year").over(by_school()),
-                "district_code": label_code(df, "district"),
-                "management_code": label_code(df, "management_type"),
             }
         )
         .withColumns(

@@ -12,10 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwise.sources import store
+
 # A cell (all rows with one score in one year) may hold most of a year. It is
 # split by the first hex digits of md5(school_id), which spreads ids evenly.
 TIE_DIGITS = 3
 SALT_DIGITS = 2
+SALTS = 32
+LOG_CELLS = 1024  # cells a unit of the log scale
+SUB_CELLS = 4096
 
 
 def tie_bucket(school_id="school_id", digits: int = TIE_DIGITS) -> Column:
@@ -127,48 +132,107 @@ def running_totals(
     )
 
 
+def label_codes(df: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """Position of each label among the sorted distinct labels of its kind: rows (kind, label, code), published.
+
+    Distinct labels are sorted in range partitions; a label's position is its
+    place in the partition's share of the kind, after the shares before, so no
+    task and no value holds all of them.
+    """
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), label.alias("label")) for kind, label in labels.items()])
+    distinct = df.select(F.inline(pairs)).distinct()
+    ordered = (
+        distinct.repartitionByRange("kind", "label")
+        .sortWithinPartitions("kind", "label")
+        .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    )
+    # written once: a second run could draw other range bounds
+    fixed = store.publish(ordered, store.new_path(df.sparkSession, "labels"))
+    shares = fixed.groupBy("kind", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    placed = fixed.join(shares.select("kind", "_part", offset.alias("_offset")), ["kind", "_part"])
+    codes = placed.select("kind", "label", (F.col("_row") + F.col("_offset")).cast("int").alias("code"))
+    return store.publish(codes, store.new_path(df.sparkSession, "label_codes"))
+
+
+def with_code(df: DataFrame, codes: DataFrame, kind: str, label: Column, name: str, school_id: str = "school_id") -> DataFrame:
+    """Add a label's code. Rows meet it by label and hash bucket, so a label that most rows share is spread."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    found = codes.where(F.col("kind") == kind).select(F.col("label").alias("_label"), F.col("code").alias(name), salts)
+    keyed = df.withColumns({"_label": label, "_salt": F.pmod(F.xxhash64(school_id), F.lit(SALTS)).cast("int")})
+    return keyed.join(found, ["_label", "_salt"], "left").drop("_label", "_salt")
+
+
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group, one column per name.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    task. Here the values are first counted per cell of a monotone log scale
-    (at most some thousands of cells whatever the data), the cells that hold
-    the wanted positions are found, and only the distinct values inside those
-    cells are ordered. Without groups there is one row over everything.
+    task. Here the wanted positions are narrowed down by exact counts: first per
+    cell of a monotone log scale, then per 4,096th of the range of values that a
+    wanted cell really has, and only the distinct values of the cells that are
+    left are ordered. A cell of one value is an answer as soon as it is found,
+    whatever its rows. Each step shuffles cells, never all distinct values, and
+    the wanted cells (two a group and position at most) go to the rows, so
+    `groups` are meant for labels, not for keys. Without groups there is one row
+    over everything.
     """
-    cells_per_unit = 1024
     x = F.col(value).cast("double")
-    cell = F.floor(F.signum(x) * F.log1p(F.abs(x)) * cells_per_unit).cast("long")
-    data = df.where(F.col(value).isNotNull()).select(*groups, x.alias("_x"), cell.alias("_cell"))
+    log_cell = F.floor(F.signum(x) * F.log1p(F.abs(x)) * LOG_CELLS).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*groups, x.alias("_x"), log_cell.alias("_cell0"))
 
     def both_ends(p: float) -> Column:
         pos = (F.col("_total") - 1) * F.lit(p)
         return F.array(F.floor(pos), F.ceil(pos))
 
-    running = Window.partitionBy(*groups)
-    wanted = (
-        data.groupBy(*groups, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_total", F.sum("_n").over(running))
-        .withColumn("_end", F.sum("_n").over(running.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_begin", F.col("_end") - F.col("_n"))
+    def inside(ranks, begin, size) -> Column:
+        return F.filter(ranks, lambda r: (r >= begin) & (r < begin + size))
+
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*groups, *keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
+        )
+
+    def narrowed(cells: DataFrame, above: list[str], cell: str) -> DataFrame:
+        """Cells that hold wanted ranks, with the rows before them."""
+        ordered = Window.partitionBy(*groups, *above).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        before = F.sum("_n").over(ordered) - F.col("_n") + F.col("_start")
+        return (
+            cells.withColumn("_begin", before)
+            .withColumn("_ranks", inside("_ranks", F.col("_begin"), F.col("_n")))
+            .where(F.size("_ranks") > 0)
+            .select(*groups, *above, cell, "_begin", "_total", "_ranks", "_low", "_high")
+        )
+
+    def answers(cells: DataFrame) -> DataFrame:
+        return cells.select(*groups, F.col("_low").alias("_x"), "_total", F.explode("_ranks").alias("_rank"))
+
+    one_value = F.col("_low") == F.col("_high")
+    first = (
+        counted(rows, "_cell0")
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*groups)))
         .withColumn("_ranks", F.array_distinct(F.concat(*[both_ends(p) for p in probs.values()])))
-        .withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_begin")) & (r < F.col("_end"))))
-        .where(F.size("_ranks") > 0)
-        .select(*groups, "_cell", "_begin", "_total", "_ranks")
+        .withColumn("_start", F.lit(0).cast("long"))
+        .transform(narrowed, [], "_cell0")
     )
-    counted = data.groupBy(*groups, "_cell", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    in_cell = Window.partitionBy(*groups, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        join_null_safe(counted, wanted, [*groups, "_cell"])
-        .withColumn("_end", F.col("_begin") + F.sum("_n").over(in_cell))
-        .withColumn(
-            "_ranks",
-            F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_n")) & (r < F.col("_end"))),
-        )
-        .select(*groups, "_x", "_total", F.explode("_ranks").alias("_rank"))
+    # two rows a group and position at most
+    left = join_null_safe(rows, F.broadcast(first.where(~one_value)), [*groups, "_cell0"])
+    share = (F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    left = left.withColumn("_cell1", F.least(F.floor(share * SUB_CELLS), F.lit(SUB_CELLS - 1)))
+    keys = [*groups, "_cell0"]
+    known = first.select(*keys, F.col("_begin").alias("_start"), "_total", "_ranks")
+    second = join_null_safe(counted(left, "_cell0", "_cell1"), F.broadcast(known), keys).transform(narrowed, ["_cell0"], "_cell1")
+
+    keys = [*groups, "_cell0", "_cell1"]
+    wanted = second.where(~one_value).select(*keys, F.col("_begin").alias("_start"), "_total", "_ranks")
+    last = join_null_safe(left.select(*keys, "_x"), F.broadcast(wanted), keys)
+    values = (
+        last.groupBy(*keys, "_x")
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("_start", "_total", "_ranks")])
+        .withColumns({"_low": F.col("_x"), "_high": F.col("_x")})
+        .transform(narrowed, ["_cell0", "_cell1"], "_x")
     )
-
+    hits = answers(first.where(one_value)).unionByName(answers(second.where(one_value))).unionByName(answers(values))
     totals = hits.groupBy(*groups).agg(
         F.max("_total").alias("_total"), F.map_from_entries(F.collect_set(F.struct("_rank", "_x"))).alias("_at")
     )

@@ -71,6 +71,11 @@ def facts_of(spark: SparkSession, sf: str) -> DataFrame:
     return standin.facts(spark, sf)
 
 
+def keyed_of(spark: SparkSession, sf: str) -> bool:
+    """Whether school and year are a key of the facts, and so of all that has a row for each of theirs."""
+    return standin.keyed(spark, sf)
+
+
 def by_year(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """A table published once by academic year and read from there."""
     return standin.published(spark, sf, name, build, ["academic_year"])
@@ -834,7 +839,7 @@ INDEX_COLUMNS = (
 
 
 def index_of(spark: SparkSession, sf: str) -> DataFrame:
-    return district.district_index(scored_of(spark, sf))
+    return district.district_index(scored_of(spark, sf), keyed_of(spark, sf))
 
 
 @query("district_index", f"SELECT {INDEX_COLUMNS} FROM index", "index")
@@ -1056,7 +1061,7 @@ FROM wma GROUP BY base_year""",
     "wma",
 )
 def _(spark, sf):
-    return forecast.forecast_summary(forecast.wma_forecast(facts_of(spark, sf)))
+    return forecast.forecast_summary(forecast.wma_forecast(facts_of(spark, sf)), keyed=keyed_of(spark, sf))
 
 
 @query(
@@ -1300,7 +1305,7 @@ FROM (SELECT {KPI_SQL} FROM latest)""",
     "latest",
 )
 def _(spark, sf):
-    return views.state_kpis(report_of(spark, sf))
+    return views.state_kpis(report_of(spark, sf), keyed=keyed_of(spark, sf))
 
 
 @query(
@@ -1351,7 +1356,7 @@ FROM facts GROUP BY 1""",
     "facts",
 )
 def _(spark, sf):
-    return views.enrolment_by_year(report_of(spark, sf))
+    return views.enrolment_by_year(report_of(spark, sf), keyed=keyed_of(spark, sf))
 
 
 @query(
@@ -1468,7 +1473,7 @@ FROM latest GROUP BY 1, 2""",
     "latest",
 )
 def _(spark, sf):
-    return views.block_kpis(report_of(spark, sf))
+    return views.block_kpis(report_of(spark, sf), keyed=keyed_of(spark, sf))
 
 
 @query(

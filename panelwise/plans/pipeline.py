@@ -23,6 +23,7 @@ from panelwise.plans import report as reporting
 from panelwise.sources import raw, store
 
 YEAR = ["academic_year"]
+KEY = ["school_id", "academic_year"]
 
 
 class Warehouse:
@@ -67,7 +68,7 @@ def derive(house: Warehouse, facts: DataFrame, hash_method: str = "crc32") -> di
     return {
         "scored": scored,
         "report": report,
-        "district_index": house.put("district_index", district.district_index(scored)),
+        "district_index": house.put("district_index", district.district_index(scored, store.is_key(facts, KEY))),
         "validation": stage("validation", judged),
         "wma_forecast": house.put("wma_forecast", forecast.wma_forecast(facts)),
     }

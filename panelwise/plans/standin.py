@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import flag_to_bool
-from panelwise.sources.store import new_path, publish
+from panelwise.sources.store import is_key, new_path, publish
 
 _PUBLISHED: dict[tuple, DataFrame] = {}
+_KEYED: dict[tuple, bool] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,8 +158,9 @@ def published(spark: SparkSession, sf_dir: str, name: str, build, partition_by=N
 
 def forget(sf_dir: str) -> None:
     """Derive the tables of this folder anew from now on."""
-    for key in [k for k in _PUBLISHED if k[1] == sf_dir]:
-        del _PUBLISHED[key]
+    for kept in (_PUBLISHED, _KEYED):
+        for key in [k for k in kept if k[1] == sf_dir]:
+            del kept[key]
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +172,14 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(base(spark, sf_dir))
 
 
+def keyed(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether school and year are a key of the facts; looked at once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEYED:
+        _KEYED[key] = is_key(facts(spark, sf_dir), ["school_id", "academic_year"])
+    return _KEYED[key]
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests from the event table; some fall outside the allowed range or name an unknown school-year."""
     year = (F.lit(1995) + F.col("event_id") % 7).cast("int")

@@ -1,7 +1,8 @@
 """Dashboard views over the report and the derived tables.
 
 Each view is a set-level query; a district, block or school is a plain filter
-and the year defaults to the latest.
+and the year defaults to the latest. `keyed` says that school and year are known
+to be a key of the report (`store.is_key`), so that schools are plain row counts.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away
+from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away, schools
 from panelwise.functions.windows import in_latest_of_few, in_year, only, top, top_per
 from panelwise.operators.risk import LEVELS, level_counts
 
@@ -30,9 +31,9 @@ def _blocks(report: DataFrame) -> DataFrame:
     return only(report, "has_school").withColumn("block", F.coalesce("block", F.lit("UNKNOWN")))
 
 
-def _kpis() -> list[Column]:
+def _kpis(keyed: bool) -> list[Column]:
     return [
-        F.countDistinct("school_id").alias("total_schools"),
+        schools(keyed).alias("total_schools"),
         *level_counts(),
         round_half_away(exact_mean("risk_score"), 4).alias("avg_risk_score"),
         F.sum("classroom_gap").alias("total_classroom_gap"),
@@ -54,11 +55,11 @@ def funding_status(partly: str) -> Column:
 # --- state ----------------------------------------------------------------------
 
 
-def state_kpis(report: DataFrame, year: str | None = None) -> DataFrame:
+def state_kpis(report: DataFrame, year: str | None = None, keyed: bool = False) -> DataFrame:
     """Schools, level counts, mean risk, gap sums and the share of critical schools."""
     return (
         in_year(report, year)
-        .agg(*_kpis())
+        .agg(*_kpis(keyed))
         .withColumn("critical_share_pct", pct("critical", "total_schools", 1))
     )
 
@@ -101,12 +102,12 @@ def risk_by_year(report: DataFrame) -> DataFrame:
     )
 
 
-def enrolment_by_year(report: DataFrame) -> DataFrame:
+def enrolment_by_year(report: DataFrame, keyed: bool = False) -> DataFrame:
     return (
         report.groupBy("academic_year")
         .agg(
             F.sum("total_enrolment").alias("total_enrolment"),
-            F.countDistinct("school_id").alias("school_count"),
+            schools(keyed).alias("school_count"),
         )
         .orderBy("academic_year")
     )
@@ -226,11 +227,15 @@ def flagged_requests(judged: DataFrame, district: str | None = None, year: str |
 
 
 def block_kpis(
-    report: DataFrame, district: str | None = None, block: str | None = None, year: str | None = None
+    report: DataFrame,
+    district: str | None = None,
+    block: str | None = None,
+    year: str | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """KPIs per block, with the number of fully funded schools."""
     rows = pick(_blocks(in_year(report, year)), district=district, block=block)
-    return rows.groupBy("district", "block").agg(*_kpis(), count_if(resolved()[0]).alias("funded_count"))
+    return rows.groupBy("district", "block").agg(*_kpis(keyed), count_if(resolved()[0]).alias("funded_count"))
 
 
 def block_schools(

@@ -59,6 +59,11 @@ def publish(
     return read_table(df.sparkSession, path, df.schema)
 
 
+def is_key(df: DataFrame, key: list[str]) -> bool:
+    """Whether no two rows share a key. Checked once where a table is published, from its key columns."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
+
+
 def append(df: DataFrame, path: str, stamp: str | None = None) -> None:
     """Append rows, with the write time in column `stamp` if given."""
     if stamp:

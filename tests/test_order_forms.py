@@ -139,3 +139,20 @@ def test_single_row_year_is_top_bucket_and_null_scores_drop(spark, rows):
     assert ranked.count() == rows.count()
     only = ranked.where(F.col("academic_year") == "1999-00").first()
     assert (only.state_rank, only.priority_bucket) == (1, "TOP_5")
+
+
+def test_label_codes_are_positions_among_sorted_labels(spark):
+    from panelwise.operators.ordered import label_codes, with_code
+
+    r = random.Random(6)
+    names = ["UNK", "é", "a b", "Z", ""] + [f"n{r.randint(0, 10**6)}" for _ in range(400)]
+    data = [(f"s{i}", r.choice(names) if i % 3 else "hot", r.choice(names[:5])) for i in range(3000)]
+    df = spark.createDataFrame(data, "school_id string, a string, b string").repartition(7)
+    codes = label_codes(df, {"ca": F.col("a"), "cb": F.col("b")})
+    got = with_code(with_code(df, codes, "ca", F.col("a"), "ca"), codes, "cb", F.col("b"), "cb").collect()
+    for name, column in (("ca", 1), ("cb", 2)):
+        order = sorted({row[column] for row in data}, key=str.encode)
+        assert {(row[column], order.index(row[column])) for row in data} == {(g[column], g[name]) for g in got}
+    assert len(got) == 3000
+    text = codes._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in text
