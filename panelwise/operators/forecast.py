@@ -20,7 +20,11 @@ HORIZONS = (1, 2, 3)
 
 def weighted_change(enrolment: str = "total_enrolment") -> Column:
     """3, 2, 1 times the last three yearly changes; a missing change counts as 0."""
-    levels = [F.col(enrolment)] + [previous(enrolment, i) for i in range(1, len(WEIGHTS) + 1)]
+    return change_of([F.col(enrolment)] + [previous(enrolment, i) for i in range(1, len(WEIGHTS) + 1)])
+
+
+def change_of(levels: list[Column]) -> Column:
+    """The weighted change of four consecutive values, the latest first."""
     return reduce(
         lambda a, b: a + b,
         [F.coalesce(levels[i] - levels[i + 1], F.lit(0)) * w for i, w in enumerate(WEIGHTS)],
@@ -29,8 +33,11 @@ def weighted_change(enrolment: str = "total_enrolment") -> Column:
 
 def with_wma_growth(facts: DataFrame) -> DataFrame:
     """Add avg_growth_rate over the whole history; 0 without a usable previous row."""
-    growth = ratio(weighted_change(), sum(WEIGHTS) * previous("total_enrolment"))
-    return facts.withColumn("avg_growth_rate", F.coalesce(growth, F.lit(0.0)))
+    return facts.withColumn("avg_growth_rate", average_growth(weighted_change(), previous("total_enrolment")))
+
+
+def average_growth(change: Column, before: Column) -> Column:
+    return F.coalesce(ratio(change, sum(WEIGHTS) * before), F.lit(0.0))
 
 
 def with_horizons(base: DataFrame, growth: str, horizons=HORIZONS) -> DataFrame:

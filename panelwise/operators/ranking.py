@@ -19,11 +19,12 @@ REST = "STANDARD"
 
 def consecutive_high(run: int = 3, calendar_adjacent: bool = False) -> Column:
     """1 when this row and the run-1 rows before it are all HIGH or CRITICAL, else 0."""
-    levels = [F.col("risk_level")] + [
-        previous("risk_level", i, calendar_adjacent) for i in range(1, run)
-    ]
-    all_high = reduce(lambda a, b: a & b, [F.coalesce(v.isin(HIGH_LEVELS), F.lit(False)) for v in levels])
-    return all_high.cast("int")
+    return all_high([F.col("risk_level")] + [previous("risk_level", i, calendar_adjacent) for i in range(1, run)])
+
+
+def all_high(levels: list[Column]) -> Column:
+    """1 when all levels are HIGH or CRITICAL, else 0."""
+    return reduce(lambda a, b: a & b, [F.coalesce(v.isin(HIGH_LEVELS), F.lit(False)) for v in levels]).cast("int")
 
 
 def with_persistent_flag(scored: DataFrame, run: int = 3, calendar_adjacent: bool = False) -> DataFrame:

@@ -45,17 +45,18 @@ def with_deficit_ratios(gapped: DataFrame) -> DataFrame:
     return gapped.withColumn("classroom_deficit_ratio", rooms).withColumn("teacher_deficit_ratio", teachers)
 
 
+def growth_since(before) -> Column:
+    """Growth of enrolment since the value of the row before; 0 without one and after a 0."""
+    return F.when(before.isNull() | (before == 0), F.lit(0.0)).otherwise(ratio(F.col("total_enrolment") - before, before))
+
+
 def with_growth(df: DataFrame, calendar_adjacent: bool = False) -> DataFrame:
     """Year-over-year enrolment growth; 0 for the first row and after a 0.
 
     The lag runs over the whole panel; filter years afterwards.
     """
     prev = previous("total_enrolment", 1, calendar_adjacent)
-    with_prev = df.withColumn("_prev", prev)
-    growth = F.when(F.col("_prev").isNull() | (F.col("_prev") == 0), F.lit(0.0)).otherwise(
-        ratio(F.col("total_enrolment") - F.col("_prev"), "_prev")
-    )
-    return with_prev.withColumn("enrolment_growth_rate", growth).drop("_prev")
+    return df.withColumn("_prev", prev).withColumn("enrolment_growth_rate", growth_since(F.col("_prev"))).drop("_prev")
 
 
 def risk_level(raw, model: RiskModel) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import count_if, round_half_away
@@ -41,14 +41,24 @@ def with_trend(scored: DataFrame, model: TrendModel = TrendModel()) -> DataFrame
         .withColumn("cumulative_avg_risk", F.when(scored_row, F.avg("risk_score").over(so_far)))
         .withColumn("chronic_risk_flag", consecutive_high(model.run))
     )
-    swing = F.greatest(F.abs("risk_delta"), F.abs(last_scored("risk_delta")))
-    return changed.withColumn(
-        "trend_direction",
+    return changed.withColumns(
+        {"trend_direction": direction(model), "volatile_flag": volatile(last_scored("risk_delta"), model)}
+    )
+
+
+def direction(model: TrendModel) -> Column:
+    return (
         F.when(F.col("risk_delta").isNull(), "BASELINE")
         .when(F.col("risk_delta") < -model.step, "IMPROVING")
         .when(F.col("risk_delta") > model.step, "DETERIORATING")
-        .otherwise("STABLE"),
-    ).withColumn("volatile_flag", F.coalesce(swing > model.volatile_step, F.lit(False)).cast("int"))
+        .otherwise("STABLE")
+    )
+
+
+def volatile(last_delta: Column, model: TrendModel) -> Column:
+    """1 when this change or the one before is large."""
+    swing = F.greatest(F.abs("risk_delta"), F.abs(last_delta))
+    return F.coalesce(swing > model.volatile_step, F.lit(False)).cast("int")
 
 
 def risk_trend(scored: DataFrame, model: TrendModel = TrendModel()) -> DataFrame:

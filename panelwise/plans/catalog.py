@@ -18,6 +18,7 @@ from panelwise.functions.windows import in_year
 from panelwise.operators import (
     allocation,
     assemble,
+    carried,
     district,
     forecast,
     gaps,
@@ -800,6 +801,35 @@ def _(spark, sf):
     return rounded(trend.risk_trend(scored_of(spark, sf)), 6, "risk_delta", "cumulative_avg_risk")
 
 
+def added_year_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest year merged into the state that the years before it left."""
+
+    def history():
+        scored_rows = scored_of(spark, sf)
+        latest = scored_rows.agg(F.max("academic_year")).scalar()
+        return carried.state_of(scored_rows.where(F.col("academic_year") < latest))
+
+    state = standin.published(spark, sf, "carried_state", history)
+    return standin.published(spark, sf, "carried_merge", lambda: carried.merge(state, in_year(facts_of(spark, sf))))
+
+
+@query(
+    "added_year",
+    f"""SELECT t.school_id, t.academic_year, {rnd('t.enrolment_growth_rate', 9)} AS enrolment_growth_rate, t.risk_score,
+  prev_risk_score, {rnd('risk_delta', 6)} AS risk_delta, trend_direction, year_over_year_count, chronic_risk_flag,
+  volatile_flag, {rnd('cumulative_avg_risk', 6)} AS cumulative_avg_risk, {rnd('avg_growth_rate', 9)} AS avg_growth_rate
+FROM trend t JOIN wma0 w ON t.school_id = w.school_id AND t.academic_year = w.academic_year
+WHERE t.academic_year = (SELECT max(academic_year) FROM facts)""",
+    "trend",
+    "wma0",
+)
+def _(spark, sf):
+    rows = carried.year_rows(added_year_of(spark, sf))
+    kept = rows.select("school_id", "academic_year", "enrolment_growth_rate", *carried.TREND, "avg_growth_rate")
+    kept = rounded(kept, 9, "enrolment_growth_rate", "avg_growth_rate")
+    return rounded(kept, 6, "risk_delta", "cumulative_avg_risk")
+
+
 DIRECTIONS = ", ".join(
     n_if(f"trend_direction = '{d}'") + f" AS {d.lower()}"
     for d in ("BASELINE", "IMPROVING", "STABLE", "DETERIORATING")

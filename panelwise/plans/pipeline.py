@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelwise.operators import (
     allocation,
     assemble,
+    carried,
     district,
     forecast,
     learned,
@@ -94,6 +95,21 @@ def rescore_year(house: Warehouse, facts: DataFrame, year: str) -> DataFrame:
     return store.publish(reporting.scored(facts), house.path("scored"), YEAR, year=year)
 
 
+def keep_state(house: Warehouse, scored: DataFrame) -> DataFrame:
+    """Publish the carried state after a whole history, from which years are then added one by one."""
+    return house.put("carried_state", carried.state_of(scored))
+
+
+def add_year(house: Warehouse, facts: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of one more year with risk, trend and averaged growth, and the state after it.
+
+    Reads the facts of that year and the state, not the history.
+    """
+    merged = house.put("carried_merge", carried.merge(state, facts))
+    year = house.put("added_year", carried.year_rows(merged))
+    return year, house.put("carried_state", carried.next_state(merged))
+
+
 def simulate(report: DataFrame, scenarios: list[allocation.Scenario], year: str | None = None):
     """(summary, districts) of what-if budgets over the published report."""
     rows = allocation.scenario_rows(report.where(F.col("state_rank").isNotNull()), scenarios, year)
