@@ -28,6 +28,7 @@ from panelwise.operators import (
     proposals,
     ranking,
     risk,
+    search,
     trend,
 )
 from panelwise.operators.allocation import Scenario
@@ -91,7 +92,8 @@ def report_of(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         return report(facts_of(spark, sf), lambda name, df: by_year(spark, sf, name, lambda: df))
 
-    return by_year(spark, sf, "report", build)
+    # views of single schools find their rows by the files' ranges
+    return standin.published(spark, sf, "report", build, ["academic_year"], ["school_id"])
 
 
 def judged_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,7 +306,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Yearly masters written by year, read back without the longitudinal output beside them."""
     master = master_of(spark, sf)
-    again = store.publish(master, store.new_path(spark, "masters"), ["year"])
+    again = store.republish(master, store.new_path(spark, "masters"), ["year"])
     return again.groupBy("year").agg(
         F.count(F.lit(1)).alias("schools"), F.sum("total_enrolment").alias("enrolment")
     )
@@ -672,9 +674,9 @@ def _(spark, sf):
     """Publish the ranking by year, replace one year, read the whole table back."""
     path = store.new_path(spark, "priority")
     index = ranking.priority_index(scored_of(spark, sf))
-    first = store.publish(index, path, ["academic_year"])
+    first = store.republish(index, path, ["academic_year"])
     latest = first.agg(F.max("academic_year")).first()[0]
-    again = store.publish(index, path, ["academic_year"], year=latest)
+    again = store.republish(index, path, ["academic_year"], {"academic_year": latest})
     return again.groupBy("academic_year").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("state_rank").alias("rank_sum")
     )
@@ -801,6 +803,15 @@ def _(spark, sf):
     return rounded(trend.risk_trend(scored_of(spark, sf)), 6, "risk_delta", "cumulative_avg_risk")
 
 
+def schools_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The school dimension, in files by ranges of the id."""
+    return standin.published(spark, sf, "schools", lambda: standin.schools(spark, sf), cluster_by=["school_id"])
+
+
+def search_index_of(spark: SparkSession, sf: str) -> DataFrame:
+    return standin.published(spark, sf, "search_index", lambda: search.postings(schools_of(spark, sf)), cluster_by=search.ORDER)
+
+
 def added_year_of(spark: SparkSession, sf: str) -> DataFrame:
     """The latest year merged into the state that the years before it left."""
 
@@ -1616,7 +1627,7 @@ WHERE school_id ILIKE '%mer#00000001%' OR school_name ILIKE '%mer#00000001%' ORD
     "schools",
 )
 def _(spark, sf):
-    return views.search_schools(standin.schools(spark, sf), "MER#00000001")
+    return views.search_schools(schools_of(spark, sf), "MER#00000001", index=search_index_of(spark, sf))
 
 
 @query("enrolment_series")

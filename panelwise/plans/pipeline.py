@@ -28,7 +28,7 @@ KEY = ["school_id", "academic_year"]
 
 
 class Warehouse:
-    """Published tables under one folder."""
+    """Published tables under one folder, in versions: a failed run leaves the last one readable."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -36,11 +36,13 @@ class Warehouse:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, name: str, df: DataFrame, by: list[str] | None = None) -> DataFrame:
-        return store.publish(df, self.path(name), by)
+    def put(
+        self, name: str, df: DataFrame, by: list[str] | None = None, cluster_by: list[str] | None = None
+    ) -> DataFrame:
+        return store.republish(df, self.path(name), by, cluster_by=cluster_by)
 
     def get(self, name: str) -> DataFrame:
-        return store.read_table(self.spark, self.path(name))
+        return store.read_version(self.spark, self.path(name))
 
 
 def load_raw(house: Warehouse, raw_root: str, layout: str = raw.YEAR_FOLDERS) -> DataFrame:
@@ -57,13 +59,14 @@ def load_raw(house: Warehouse, raw_root: str, layout: str = raw.YEAR_FOLDERS) ->
 def derive(house: Warehouse, facts: DataFrame, hash_method: str = "crc32") -> dict[str, DataFrame]:
     """Facts -> report, district index, validation and averaged forecast."""
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        return house.put(name, df, YEAR)
+    def stage(name: str, df: DataFrame, cluster_by: list[str] | None = None) -> DataFrame:
+        return house.put(name, df, YEAR, cluster_by)
 
     scored = stage("scored", reporting.scored(facts))
     report = stage(
         "report",
         reporting.report(facts, lambda name, df: scored if name == "scored" else stage(name, df)),
+        ["school_id"],
     )
     judged = proposals.perturbed_requests(scored, hash_method).transform(proposals.judge_batch)
     return {
@@ -92,7 +95,7 @@ def learn(
 
 def rescore_year(house: Warehouse, facts: DataFrame, year: str) -> DataFrame:
     """Replace one year of the risk table; the lags still see the full history."""
-    return store.publish(reporting.scored(facts), house.path("scored"), YEAR, year=year)
+    return store.republish(reporting.scored(facts), house.path("scored"), YEAR, {"academic_year": year})
 
 
 def keep_state(house: Warehouse, scored: DataFrame) -> DataFrame:

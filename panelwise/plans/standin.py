@@ -144,7 +144,7 @@ def build_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(build_base(spark, sf_dir))
 
 
-def published(spark: SparkSession, sf_dir: str, name: str, build, partition_by=None) -> DataFrame:
+def published(spark: SparkSession, sf_dir: str, name: str, build, partition_by=None, cluster_by=None) -> DataFrame:
     """A table derived once per session and input folder, written to the shared folder and read from there.
 
     A session sees a folder as it stood when a table was first derived from it;
@@ -152,7 +152,7 @@ def published(spark: SparkSession, sf_dir: str, name: str, build, partition_by=N
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _PUBLISHED:
-        _PUBLISHED[key] = publish(build(), new_path(spark, name), partition_by)
+        _PUBLISHED[key] = publish(build(), new_path(spark, name), partition_by, cluster_by)
     return _PUBLISHED[key]
 
 

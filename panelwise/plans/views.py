@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwise.functions.exprs import as_col, count_if, exact_mean, pct, round_half_away, schools
 from panelwise.functions.windows import in_latest_of_few, in_year, only, top, top_per
+from panelwise.operators import search
 from panelwise.operators.risk import LEVELS, level_counts
 
 
@@ -410,14 +411,17 @@ def facility_checklist(report: DataFrame, school_id: str | None = None) -> DataF
     )
 
 
-def search_schools(schools: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def search_schools(schools: DataFrame, text: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
     """Schools whose id or name contains the text, whatever the case.
 
-    The text is matched as given: `%` and `_` are not wildcards.
+    The text is matched as given: `%` and `_` are not wildcards. With an index
+    (`search.postings`) only schools that hold all its trigrams are looked at.
     """
     needle = F.lower(F.lit(text))
-    found = schools.where(
-        F.contains(F.lower("school_id"), needle) | F.contains(F.lower("school_name"), needle)
+    found = (
+        search.search(schools, index, text)
+        if index is not None
+        else schools.where(F.contains(F.lower("school_id"), needle) | F.contains(F.lower("school_name"), needle))
     )
     return top(
         found.select("school_id", "school_name", "district", "block", "school_category"), limit, "school_id"
