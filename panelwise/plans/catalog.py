@@ -39,6 +39,7 @@ from panelwise.plans.report import report, scored
 from panelwise.sources import raw, store
 from panelwise.streaming import submissions as stream
 
+STREAM_SECONDS = 3_600
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -1056,9 +1057,12 @@ def _(spark, sf):
     gap_table = scored_of(spark, sf).select(
         "school_id", "academic_year", "classroom_gap", "teacher_gap", "total_enrolment"
     )
-    judged = stream.judged_stream(stream.read_submissions(spark, arrivals), gap_table)
-    stream.append_stream(judged, out, store.new_path(spark, "stream-state"), "validated_at").awaitTermination()
-    return store.read_table(spark, out).drop("validated_at")
+    state = store.new_path(spark, "stream-state")
+    query = stream.append_judged(stream.read_submissions(spark, arrivals), gap_table, out, state, "validated_at")
+    if not query.awaitTermination(STREAM_SECONDS):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {STREAM_SECONDS} seconds")
+    return store.read_version(spark, out).drop("validated_at", "batch")
 
 
 # --- averaged forecast ----------------------------------------------------------------
