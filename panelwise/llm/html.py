@@ -1,15 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut at block tags. Pass one decides each block from the container it
-stands in, its link density, its length and the density of stop words: blocks in
-menus, adverts, forms and the like and blocks of links are left out, long blocks
-and blocks with enough stop words are kept, short ones stay open. Where a page
-marks its article, only the article can hold main text. Where it does not, long
-blocks without enough stop words stay open too, and are kept if most words of the
-page's long blocks stand in such blocks: the stop words are English, German, French
-and Spanish, so the page is in another language, or a table or code. Pass two gives
-open blocks the label of the nearest decided neighbour, inside the article first.
-In scripts written without blanks two characters count as a word.
+A page is cut at block tags; controls and pictures inside a sentence are left out
+of it without cutting it. Pass one decides each block from the container it stands
+in, its link density, its length and the density of stop words: blocks in menus,
+adverts, forms and the like and blocks of links are left out, long blocks and blocks
+with enough stop words are kept, short ones stay open. Where a page marks its
+article, only the article can hold main text. Where it does not, long blocks without
+enough stop words stay open too, and are kept if most words of the page's long
+blocks stand in such blocks: the stop words are English, German, French and Spanish,
+so the page is in another language, or a table or code. Pass two gives open blocks
+the label of the nearest decided neighbour, inside the article first. In scripts
+written without blanks two characters count as a word.
+
+Class and id name an unwanted container if a name is an unwanted word, or is put
+together of unwanted words and words for parts of a page (`site-footer`, but not
+`has-sidebar`). Such a container, or a form, does not count as unwanted if it holds
+the article, or if nothing long stands outside and it holds most of the page (not so
+comments, adverts, menus and consent). Articles do not mark a page if more long text
+stands outside of them; several of them are then cards, and left out.
 
 Null and empty pages give an empty text. Repeated pages stand for themselves.
 Unclosed tags end with the block that holds them; a page cut off in a tag or
@@ -37,9 +45,8 @@ LINK_DENSITY = 0.5
 # Elements by what the rules do with them, and words of class names.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "head nav footer aside form script style noscript template svg math button select textarea iframe object canvas audio video dialog menu".split()
-)
+DROPPED = frozenset("head nav footer aside script style noscript template dialog menu".split())
+INLINE_DROPPED = frozenset("svg math button select textarea iframe object canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption noscript template".split()
@@ -54,6 +61,15 @@ UNWANTED = frozenset(
     "social share sharing sharebar follow related recommended recommendations trending popular comment comments disqus respond responses replies reply "
     "feedback reviews widget widgets copyright legal disclaimer tags tagcloud search searchbox form skip hidden print tooltip".split()
 )
+COMPANIONS = frozenset(
+    "site page main top bottom left right primary secondary global local sticky fixed mobile desktop box bar list item items wrapper wrap container "
+    "block inner outer area section panel link links button buttons icon icons row column col module region zone slot title post posts entry article "
+    "articles story stories blog user reader news content unit form header footer holder group text message body meta count author thread feed grid card cards tab tabs 1 2 3 4 5".split()
+)
+NEVER_MAIN = frozenset(
+    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager ad ads adv advert adverts advertisement advertising adbox adslot "
+    "sponsor sponsored outbrain taboola cookie cookies consent gdpr comment comments disqus respond responses replies reply".split()
+)
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog status tablist".split())
 ARTICLE_WORDS = frozenset("article post-content entry-content article-body articlebody post-body story-body main-content content-body".split())
 STOP_WORDS = frozenset(
@@ -67,6 +83,8 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _OTHER_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))")
+_QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+_HIDDEN = re.compile(r"(?:^|\s|\")hidden(?=\s|=|/|$)", re.I)
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{2}")
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -81,8 +99,17 @@ class Block:
     text: str
     words: int
     link_words: int
-    unwanted: bool
-    article: bool
+    unwanted: bool  # in an element that never holds main text
+    article: int  # number of the outermost article, or 0
+    inside: int = 0  # number of the innermost form or container with an unwanted name, or 0
+
+    @property
+    def links(self) -> bool:
+        return self.link_words > LINK_DENSITY * self.words
+
+    @property
+    def long(self) -> bool:
+        return self.words >= LONG_WORDS and not self.links
 
     def has_stop_words(self, density: float) -> bool:
         return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in self.text.lower().split(" ")) >= density * self.words
@@ -92,8 +119,10 @@ class Block:
 class _Open:
     tag: str
     unwanted: bool
-    article: bool
+    article: int
     link: bool
+    skipped: bool = False
+    inside: int = 0
 
 
 def _word_count(words: list[str]) -> int:
@@ -101,7 +130,7 @@ def _word_count(words: list[str]) -> int:
     return len(words) if all(map(str.isascii, words)) else sum(max(len(_UNSPACED.findall(w)), 1) for w in words)
 
 
-_ROOT = _Open("", False, False, False)
+_ROOT = _Open("", False, 0, False)
 
 
 _PLAIN: tuple[set, str, bool] = (set(), "", False)
@@ -112,16 +141,23 @@ class _Page:
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
+    state: _Open = field(default_factory=lambda: _ROOT)  # where the block that is being read began
     stack: list[_Open] = field(default_factory=list)
     opened: Counter = field(default_factory=Counter)
+    articles: list[int] = field(default_factory=lambda: [0])  # by number: the container that holds it
+    # by number: the container around it, and whether it and all around it may turn out to hold the main text
+    containers: list[tuple[int, bool]] = field(default_factory=lambda: [(0, True)])
 
     def top(self) -> _Open:
         return self.stack[-1] if self.stack else _ROOT
 
     def text(self, raw: str) -> None:
-        if raw:
+        state = self.top()
+        if raw and not state.skipped:
+            if not self.parts:
+                self.state = state
             self.parts.append(raw)
-            if self.top().link:
+            if state.link:
                 self.linked.append(raw)
 
     def flush(self) -> None:
@@ -130,16 +166,16 @@ class _Page:
             return
         words = unescape("".join(self.parts)).split()
         if words:
-            state = self.top()
             linked = _word_count(unescape(" ".join(self.linked)).split()) if self.linked else 0
-            self.blocks.append(Block(" ".join(words), _word_count(words), linked, state.unwanted, state.article))
+            at = self.state
+            self.blocks.append(Block(" ".join(words), _word_count(words), linked, at.unwanted, at.article, at.inside))
         self.parts, self.linked = [], []
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.text(" ")
         if tag in CLOSES_P:
             self.close("p", within=SCOPES)
         if tag in SAME_CLOSES:
@@ -148,18 +184,28 @@ class _Page:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
         state = self.top()
+        self.opened[tag] += 1
         if tag not in BLOCKS and tag not in DROPPED and tag != "span":
-            self.opened[tag] += 1
-            self.stack.append(_Open(tag, state.unwanted, state.article, state.link or tag == "a"))
+            skipped = state.skipped or tag in INLINE_DROPPED
+            self.stack.append(_Open(tag, state.unwanted, state.article, state.link or tag == "a", skipped, state.inside))
             return
         names, role, hidden = _described(attributes) if attributes else _PLAIN
-        article = state.article or tag in ("article", "main") or role in ("main", "article") or bool(names & ARTICLE_WORDS)
-        parts = {p for n in names for p in _NAME_PARTS.split(n)}
         unwanted = tag in DROPPED or role in UNWANTED_ROLES or hidden or tag == "header" and not state.article
-        if tag not in ("article", "main", "body", "html") and not names & ARTICLE_WORDS:
-            unwanted = unwanted or bool(parts & UNWANTED)
-        self.opened[tag] += 1
-        self.stack.append(_Open(tag, state.unwanted or unwanted, article, state.link or tag == "a"))
+        marks = tag in ("article", "main") or role in ("main", "article") or bool(names & ARTICLE_WORDS)
+        inside, words = state.inside, set()
+        if tag not in ("main", "body", "html") and not names & ARTICLE_WORDS:
+            words = {w for name in names for w in unwanted_words(name)}
+        if words or tag == "form":
+            self.containers.append((inside, self.containers[inside][1] and not words & NEVER_MAIN))
+            inside = len(self.containers) - 1
+        article = state.article
+        if marks and not article and not words:
+            self.articles.append(inside)
+            article = len(self.articles) - 1
+        if tag == "span" and (unwanted or words):  # inline: left out of its sentence
+            self.stack.append(_Open(tag, state.unwanted, state.article, state.link, True, state.inside))
+            return
+        self.stack.append(_Open(tag, state.unwanted or unwanted, article, state.link or tag == "a", state.skipped, inside))
 
     def close(self, tag: str, within: frozenset = frozenset()) -> None:
         """Close the innermost element of this name, with all it holds; not beyond the given elements."""
@@ -176,9 +222,16 @@ class _Page:
                 return
 
 
+def unwanted_words(name: str) -> set[str]:
+    """The unwanted words of a class name or id, if it is made of such words and words for parts of a page alone."""
+    parts = {p for p in _NAME_PARTS.split(name) if p}
+    found = parts & UNWANTED
+    return found if found and parts <= UNWANTED | COMPANIONS else set()
+
+
 def _described(attributes: str) -> tuple[set[str], str, bool]:
     """Names in class and id, the role, and whether the element is hidden."""
-    names, role, hidden = set(), "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+    names, role, hidden = set(), "", bool(_HIDDEN.search(_QUOTED.sub('""', attributes)))
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), unescape(next((g for g in m.groups()[1:] if g is not None), ""))
         if name in ("class", "id"):
@@ -210,8 +263,8 @@ def _tag_end(html: str, at: int, failed: set[int]) -> int:
     return html.find(">", begin)
 
 
-def blocks(html: str) -> list[Block]:
-    """Blocks of a page in order, without scripts, styles, comments and markup."""
+def read(html: str) -> _Page:
+    """A page cut into blocks in order, without scripts, styles, comments and markup."""
     page, at, last = _Page(), 0, html.rfind(">")
     failed: set[int] = set()
     while at < len(html):
@@ -246,20 +299,54 @@ def blocks(html: str) -> list[Block]:
         else:
             page.open(tag, attributes)
     page.flush()
-    return page.blocks
+    return page
+
+
+def settled(page: _Page) -> list[Block]:
+    """Blocks with containers and articles judged by what they hold: `unwanted` and `article` as the rules take them.
+
+    Of long texts only, if there are any: the largest article in containers that
+    may hold main text frees them if it is at least as large as all that stands
+    in none; if nothing does, the container with most text of its own is freed.
+    """
+    found = [b for b in page.blocks if not b.unwanted]
+    weigh = (lambda b: b.words * b.long) if any(b.long for b in found) else (lambda b: b.words * (not b.links))
+    own, held = Counter(), Counter()
+    for b in found:
+        own[b.inside] += weigh(b)
+        if page.articles[b.article] == b.inside:
+            held[b.article] += weigh(b)
+    freed = {0}
+
+    def free(container: int) -> None:
+        while container not in freed:
+            freed.add(container)
+            container = page.containers[container][0]
+
+    best = max((a for a in held if a and page.containers[page.articles[a]][1]), key=lambda a: (held[a], -a), default=0)
+    if best and held[best] and held[best] >= own[0]:
+        free(page.articles[best])
+    if not sum(own[c] for c in freed):
+        free(max((c for c in own if page.containers[c][1]), key=lambda c: (own[c], -c), default=0))
+    out = [Block(b.text, b.words, b.link_words, b.unwanted or b.inside not in freed, b.article) for b in page.blocks]
+    inner, outer = (sum(weigh(b) for b in out if not b.unwanted and bool(b.article) == a) for a in (True, False))
+    if outer > inner:
+        cards = len({b.article for b in out if b.article and not b.unwanted}) > 1
+        out = [Block(b.text, b.words, b.link_words, b.unwanted or cards and b.article > 0, 0) for b in out]
+    return out
 
 
 def labels(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
     marked = any(b.article and not b.unwanted for b in found)
     decided: list[bool | None] = []
-    long = [] if marked else [b for b in found if not b.unwanted and b.words >= LONG_WORDS and b.link_words <= LINK_DENSITY * b.words]
+    long = [] if marked else [b for b in found if not b.unwanted and b.long]
     # whether most of the text is in none of the languages of the stop words
     other = sum(b.words if b.has_stop_words(STOP_DENSITY) else -b.words for b in long) < 0
     for b in found:
         if b.unwanted or marked and not b.article:
             decided.append(False)
-        elif b.link_words > LINK_DENSITY * b.words and not (b.article and b.words - b.link_words >= LONG_WORDS):
+        elif b.links and not (b.article and b.words - b.link_words >= LONG_WORDS):
             decided.append(False)
         elif b.article and b.words >= LONG_WORDS:
             decided.append(True)
@@ -295,7 +382,7 @@ def _nearest(counts: list[bool]) -> list[int]:
 
 
 def main_text(html: str) -> str:
-    found = blocks(html)
+    found = settled(read(html))
     return "\n".join(b.text for b, keep in zip(found, labels(found)) if keep)
 
 
