@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits or signs
-used as letters, strips accents and turns everything else into blanks. The
-lexicon is learned: words, and beginnings of words, that make up far more of the
+Folding takes characters apart (compatibility forms, accents), drops marks and
+invisible format characters, lower-cases, maps look-alike letters of other scripts
+and digits or signs used as letters (`!` and `|` inside a word only) and turns
+everything else into blanks. The lexicon is learned: words, and beginnings of words, that make up far more of the
 words of labelled toxic documents than of others, weighted by that log ratio. Exception phrases
 (given, or words learned to be harmless although they begin like an entry) cancel
 the matches they cover. A document's matches are summed, once as they are and
@@ -20,6 +21,7 @@ stand there. Without any labelled row all scores are the prior of an empty sampl
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import bounded, col, strings
+from panelwise.llm.common import bounded, col, slices, strings
 
 TRAINING_ROWS = 12_000
 LEXICON_ENTRIES = 4_000
@@ -49,18 +51,20 @@ LOOK_ALIKES = {
     "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
+_STROKES = re.compile(r"(?<=\w)[!|](?=\w)")
 
 
 class _Folding(dict):
-    """Translation table that works out a character when it first meets it."""
+    """Translation table of characters taken apart, which works out a character when it first meets it."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).lower()
-        c = LOOK_ALIKES.get(c, SIGNS.get(c, c))
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-        plain = "".join(LOOK_ALIKES.get(x, x) for x in plain)
-        # one character for one, so that lengths stay as they are
-        self[code] = out = plain[0] if plain and plain[0].isalpha() else " "
+        c = chr(code)
+        if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+            self[code] = ""
+            return ""
+        low = c.lower()
+        low = LOOK_ALIKES.get(low, SIGNS.get(low, low))[0]
+        self[code] = out = low if low.isalpha() else " "
         return out
 
 
@@ -69,19 +73,37 @@ _FOLD = _Folding()
 
 def fold(text: str) -> str:
     """Folded text, with a blank before and after."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    if "!" in text or "|" in text:
+        text = _STROKES.sub("i", text)
     return f" {text.translate(_FOLD)} "
 
 
-def features(folded: str) -> Counter:
-    """What a document shows of a lexicon, with counts: ' word ' and the beginnings ' wor' of its words; '' counts words."""
-    found: Counter = Counter()
-    for w, n in Counter(folded.split()).items():
-        found[""] += n
-        if len(w) <= LONGEST_ENTRY:
-            found[f" {w} "] += n
+def features(folded: str) -> Iterator[tuple[str, int]]:
+    """What a document shows of a lexicon, each once with its count: ' word ', the beginnings ' wor' of its words; '' counts words.
+
+    In sorted order the words that share a beginning stand together, so only the
+    beginnings of one word are open at a time.
+    """
+    words = Counter(folded.split())
+    yield "", sum(words.values())
+    open_word, counts = "", [0] * (LONGEST_ENTRY + 1)
+    for w in [*sorted(words), ""]:
+        shared = 0
+        for x, y in zip(open_word, w):
+            if x != y:
+                break
+            shared += 1
+        for size in range(max(shared + 1, LEAST_PREFIX), min(len(open_word), LONGEST_ENTRY) + 1):
+            yield f" {open_word[:size]}", counts[size]
+            counts[size] = 0
+        n = words.get(w, 0)
         for size in range(LEAST_PREFIX, min(len(w), LONGEST_ENTRY) + 1):
-            found[f" {w[:size]}"] += n
-    return found
+            counts[size] += n
+        if n and len(w) <= LONGEST_ENTRY:
+            yield f" {w} ", n
+        open_word = w
 
 
 @dataclass(frozen=True)
@@ -116,10 +138,17 @@ def matched(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float
             best[begin] = max(best.get(begin, 0.0), weight)
         else:
             spared.append((begin, end))
-    for a, b in spared:
-        for place in [p for p in best if a <= p < b]:
-            del best[place]
-    return sum(best.values()), words
+    if not spared:
+        return sum(best.values()), words
+    spared.sort()
+    total, covered, i = 0.0, -1, 0
+    for place in sorted(best):
+        while i < len(spared) and spared[i][0] <= place:
+            covered = max(covered, spared[i][1])
+            i += 1
+        if place >= covered:
+            total += best[place]
+    return total, words
 
 
 def measures(total: float, words: int) -> tuple[float, float]:
@@ -149,6 +178,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By feature, how often it stands in each class and in how many toxic documents, summed up within the task."""
     sums: dict[str, list[int]] = {}
@@ -157,16 +191,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = zip(*sums.values())
         return pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array(c, pa.int64()) for c in columns)], names=["f", "clean", "toxic", "docs"])
 
-    for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), strings(batch.column("text")).to_pylist()):
+    for part in _parts(batches):
+        for toxic, text in zip(part.column("toxic").to_pylist(), strings(part.column("text")).to_pylist()):
             toxic = min(toxic, 1)
-            for f, n in features(fold(text)).items():
+            for f, n in features(fold(text)):
                 row = sums.setdefault(f, [0, 0, 0])
                 row[toxic] += n
                 row[2] += toxic
-        if len(sums) > COUNTED_AT_ONCE:
-            yield out()
-            sums = {}
+                if len(sums) > COUNTED_AT_ONCE:
+                    yield out()
+                    sums = {}
     if sums:
         yield out()
 
@@ -181,8 +215,8 @@ def _words_like(entries: set[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
-        for batch in batches:
-            for toxic, text in zip(batch.column("toxic").to_pylist(), strings(batch.column("text")).to_pylist()):
+        for part in _parts(batches):
+            for toxic, text in zip(part.column("toxic").to_pylist(), strings(part.column("text")).to_pylist()):
                 for w, n in Counter(fold(text).split()).items():
                     if _begins_like(f" {w} ", entries):
                         sums.setdefault(w, [0, 0])[min(toxic, 1)] += n
@@ -250,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), mo
 
     def measured(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in _parts(batches):
             found = [measures(*matched(fold(t), automaton)) for t in strings(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), batch.column("toxic")],
@@ -267,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = (), mo
 def _scores(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in _parts(batches):
             found = [_score(lexicon.curve, *matched(fold(t), automaton)) for t in strings(batch.column("text")).to_pylist()]
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
@@ -288,9 +322,8 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            texts = strings(batch.column(at)).to_pylist()
+        for batch in _parts(batches):
+            texts = strings(batch.column("text")).to_pylist()
             yield batch.filter(pa.array([_score(lexicon.curve, *matched(fold(t), automaton)) < threshold for t in texts], pa.bool_()))
 
-    at = bounded(docs).columns.index("text")
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
