@@ -26,13 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwise.llm.common import bounded, col, slices, strings
+from panelwise.llm.common import bounded, col, scratch, slices, strings
 from panelwise.llm.words import SHINGLE_WORDS, windows, word_hashes
 
 SIMILARITY = 0.8
@@ -40,6 +41,7 @@ RADIUS = 23
 INDEX_BLOCKS = 8
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 1 << 25
+RUN_STARTS = 1 << 14
 _FILTER_BITS = 22
 
 
@@ -54,6 +56,13 @@ def signed(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) * 2 - 1) * weights[:, None]
 
 
+def runs(starts: np.ndarray, span: int) -> list[np.ndarray]:
+    """Starts of windows in runs whose windows touch, of at most `RUN_STARTS` each: what is summed up at once."""
+    cuts = np.flatnonzero(np.diff(starts) > span) + 1
+    parts = np.split(starts, cuts) if len(starts) else []
+    return [part[i : i + RUN_STARTS] for part in parts for i in range(0, len(part), RUN_STARTS)]
+
+
 class HammingIndex:
     """Finds all indexed fingerprints within a radius of each query."""
 
@@ -167,17 +176,16 @@ class Benchmark:
             np.add.at(cover, np.maximum(here - span + k, 0), 1)
             np.add.at(cover, here + 1, -1)
             starts = np.flatnonzero(np.cumsum(cover)[: n - span + 1])
-            if not len(starts):
-                continue
-            low, high = starts[0], starts[-1] + span - k + 1
-            sums = np.zeros((high - low + 1, 64), np.int64)
-            np.cumsum(signed(every[low:high], weight[low:high]), axis=0, out=sums[1:])
-            prints = fingerprints(sums[starts - low + span - k + 1] - sums[starts - low])
-            for q, i in zip(*items.index.search(prints)):
-                s = int(starts[q])
-                similarity = self._similarity(items.bags[i], every[s : s + span - k + 1], weight[s : s + span - k + 1])
-                if similarity >= SIMILARITY and similarity > best.get((size, i), (0, 0, 0.0))[2]:
-                    best[size, i] = (items.ids[i], s, similarity)
+            for run in runs(starts, span):
+                low, high = run[0], run[-1] + span - k + 1
+                sums = np.zeros((high - low + 1, 64), np.int64)
+                np.cumsum(signed(every[low:high], weight[low:high]), axis=0, out=sums[1:])
+                prints = fingerprints(sums[run - low + span - k + 1] - sums[run - low])
+                for q, i in zip(*items.index.search(prints)):
+                    s = int(run[q])
+                    similarity = self._similarity(items.bags[i], every[s : s + span - k + 1], weight[s : s + span - k + 1])
+                    if similarity >= SIMILARITY and similarity > best.get((size, i), (0, 0, 0.0))[2]:
+                        best[size, i] = (items.ids[i], s, similarity)
         return list(best.values())
 
     @staticmethod
@@ -195,8 +203,8 @@ class Benchmark:
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
     """Indexes over all items, in blocks of a bounded number of items and bytes.
 
-    The benchmark is a stated query set. Each block goes to the driver and on to
-    the tasks, and the documents are read once a block.
+    The benchmark is a stated query set. One block at a time goes to the driver
+    and on to the tasks, and the documents are read once a block.
     """
     items = benchmark.select(col("item_id").cast("bigint").alias("item_id"), col("text").alias("text"))
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -224,10 +232,10 @@ def _find(index: Benchmark):
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated documents: doc_id, item_id, first_word and similarity of the best window."""
     texts = bounded(docs).select(col("doc_id").cast("bigint").alias("doc_id"), col("text").alias("text"))
-    found = None
-    for index in benchmark_blocks(benchmark):
-        part = texts.mapInArrow(_find(index), "doc_id bigint, item_id bigint, word bigint, similarity double")
-        found = part if found is None else found.unionByName(part)
+    schema = "doc_id bigint, item_id bigint, word bigint, similarity double"
+    # written block by block, so that no plan holds more than one block of the benchmark
+    parts = [scratch(texts.mapInArrow(_find(index), schema), "passages") for index in benchmark_blocks(benchmark)]
+    found = reduce(DataFrame.unionByName, parts)
     best = F.max(F.struct("similarity", (-F.col("word")).alias("word"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("best.word")).alias("first_word"), F.round("best.similarity", 6).alias("similarity")
@@ -237,6 +245,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, as they are."""
     at = bounded(docs).columns.index("text")
+    last = None
 
     def clean(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,5 +257,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(clean(index), docs.schema)
-    return docs
+        # no plan holds more than one block of the benchmark
+        last = docs if last is None else scratch(last, "decontaminated")
+        last = last.mapInArrow(clean(index), docs.schema)
+    return last

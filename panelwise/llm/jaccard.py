@@ -8,10 +8,12 @@ when the Jaccard similarity is 0.8 or more.
 2. Texts that share a band meet in a bucket. The most central member of a bucket
    (the one with most company over all its buckets) is its centre, and the home of
    a text is the most central of the centres it meets. Near copies share the home.
-3. Texts with one home are compared in blocks: a task takes two blocks, and nothing
-   but counts of links and the edges of a spanning forest leaves it. A home with
-   thousands of texts becomes pairs of blocks for many tasks, never pairs of texts.
-   Texts of different homes that share a bucket are compared as pairs.
+3. Texts with one home are compared in blocks, bounded in texts and in bytes: a task
+   takes two blocks, and nothing but counts of links and the edges of a spanning
+   forest leaves it. A home with thousands of texts becomes pairs of blocks for many
+   tasks, never pairs of texts. Texts of different homes that share a bucket are
+   compared in blocks of their MinHash values, in the first bucket they share; only
+   pairs that pruning leaves are written, to be verified.
 4. In both, MinHash values are compared 16 at a time. After every step the
    posterior probability that the similarity reaches 0.8 (uniform prior, Beta
    posterior) is looked up, and pairs below the tolerance are dropped; the rest is
@@ -43,13 +45,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwise.llm.common import SALTS, bounded, col, lookup, scratch, slices, strings, whole_row
-from panelwise.llm.words import shingle_set, shingles, word_hashes
+from panelwise.llm.words import mix, shingle_set, shingles, word_hashes
 
 BANDS, ROWS = 28, 4
 LANES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK_TEXTS = 512
+BLOCK_BYTES = 1 << 24
 VOCABULARY = 4096
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +97,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for lane in range(LANES):
                     np.multiply(of, _FACTORS[lane], out=value)
                     np.add(value, _SHIFTS[lane], out=value)
-                    lanes[lane] = np.minimum.reduceat(value, at) >> np.uint64(48)
+                    # the minimum of many shingles is small: hashed again, its bits are even whatever their number
+                    lanes[lane] = mix(np.minimum.reduceat(value, at)) >> np.uint64(48)
             bands = np.ascontiguousarray(lanes.T).view("<i8")
             sketch: list[list[int] | None] = [None] * len(first[1:])
             for i, row in zip(there.tolist(), bands.tolist()):
@@ -140,28 +144,14 @@ def _ints(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), "<i8").reshape(len(column), -1)
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose MinHash values, compared step by step, leave the threshold within reach."""
-    steps = least_matches()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.ascontiguousarray(_ints(batch.column(c))).view(np.uint16) for c in ("bands_a", "bands_b"))
-        alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
-        for n, least in steps:
-            matches[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
-            alive, done = alive[matches[alive] >= least], n
-        rows = pa.array(alive)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             hashes, _, first = word_hashes(strings(part.column("text")))
             made = [shingle_set(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-            columns = [part.column("rid"), pa.array(made, pa.binary()), part.column("bands")]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "shingles", "bands"])
+            size = pa.array(list(map(len, made)), pa.int64())
+            columns = [part.column("rid"), pa.array(made, pa.binary()), part.column("bands"), size]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "shingles", "bands", "bytes"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +183,10 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of two blocks Bayesian pruning leaves, comparing their MinHash values step by step."""
+def likely(a: np.ndarray, b: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of two blocks (of those alive) Bayesian pruning leaves, comparing their MinHash values step by step."""
     matches, done = np.zeros((len(a), len(b)), np.int16), 0
-    alive = np.ones_like(matches, bool)
+    alive = np.ones_like(matches, bool) if alive is None else alive.copy()
     for n, least in least_matches():
         for lane in range(done, n):
             matches += a[:, lane, None] == b[None, :, lane]
@@ -250,6 +240,33 @@ def _compare_blocks(key: tuple, batch: pa.Table) -> pa.Table:
     )
 
 
+def _compare_strays(key: tuple, batch: pa.Table) -> pa.Table:
+    """Pairs of a block of strays and a block of members of a bucket that pruning leaves, if they meet here first.
+
+    A pair meets in every bucket it shares. It counts in the first, and there a pair
+    of strays, who are members too, counts from the smaller one.
+    """
+    band = key[0].as_py()
+    batch = batch.sort_by("rid")
+    rids, homes = batch.column("rid").to_numpy(), batch.column("home").to_numpy()
+    bands = _ints(batch.column("bands").combine_chunks())
+    stray = batch.column("stray").to_numpy(zero_copy_only=False)
+    main = batch.column("main").to_numpy()[:1]
+    left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+    alive = homes[left][:, None] != homes[right][None, :]
+    alive &= (homes[right] == main)[None, :] | (rids[left][:, None] < rids[right][None, :])
+    for earlier in range(band):
+        if not alive.any():
+            break
+        alive &= bands[left, earlier][:, None] != bands[right, earlier][None, :]
+    if alive.any():
+        lanes = np.ascontiguousarray(bands).view(np.uint16)
+        alive = likely(lanes[left], lanes[right], alive)
+    i, j = np.nonzero(alive)
+    a, b = rids[left[i]], rids[right[j]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rid, comp) for every end of a link (a, b): comp is the smallest rid of its connected component.
 
@@ -258,8 +275,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = scratch(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "ends")
     labels = scratch(ends.groupBy(F.col("a").alias("rid")).agg(F.min("b").alias("low")).select("rid", F.least("rid", "low").alias("comp")), "labels")
+    # a text that many are linked to is spread by the other end
+    spread = ends.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
     while True:
-        near = ends.join(labels.select(F.col("rid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("comp").alias("near"))
+        near = lookup(spread, "b", "salt", labels.select(F.col("rid").alias("b"), "comp"))
+        near = near.groupBy(F.col("a").alias("rid")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "rid").select("rid", F.col("comp").alias("old"), F.least("comp", "near").alias("new"))
         jump = step.join(labels.select(F.col("rid").alias("new"), F.col("comp").alias("far")), "new")
         moved = scratch(jump.select("rid", "old", F.least("new", "far").alias("comp")), "labels")
@@ -290,51 +310,72 @@ class Join:
 
     def _buckets(self) -> None:
         """Members of buckets with two texts or more, and every text's home."""
+        salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS)).alias("salt")
         every = self.texts.where("bands is not null").select("rid", F.posexplode("bands").alias("band", "value"))
-        shared = scratch(every.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        met = scratch(every.join(shared, ["band", "value"]), "met")
+        every = every.select("rid", F.struct("band", "value").alias("bucket"), salt)
+        shared = scratch(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+        met = scratch(lookup(every, "bucket", "salt", shared), "met")
         company = met.join(met.groupBy("rid").agg(F.sum("n").alias("company")), "rid")
-        company = scratch(company.select("band", "value", "rid", F.struct("company", "rid").alias("rank")), "company")
-        centre = scratch(company.groupBy("band", "value").agg(F.max("rank").alias("centre")), "centres")
-        homes = company.join(centre, ["band", "value"]).groupBy("rid").agg(F.max("centre").alias("home"))
+        company = scratch(company.select("bucket", "salt", "rid", F.struct("company", "rid").alias("rank")), "company")
+        centre = scratch(company.groupBy("bucket").agg(F.max("rank").alias("centre")), "centres")
+        homes = lookup(company, "bucket", "salt", centre).groupBy("rid").agg(F.max("centre").alias("home"))
         self.homes = scratch(homes.select("rid", F.col("home.rid").alias("home")), "homes")
-        self.members = scratch(met.select("band", "value", "rid").join(self.homes, "rid"), "members")
+        self.members = scratch(met.select("bucket", "salt", "rid").join(self.homes, "rid"), "members")
 
     def _find_sets(self, texts: DataFrame) -> None:
         """Full shingle sets of the texts in buckets, each from one row that holds the text."""
         wanted = self.texts.join(self.homes, "rid").select("rid", "key", _doc("first_doc").alias("doc"), "bands")
         rows = texts.select("doc_id", F.struct("text").alias("row"))
         one = _keyed(rows).join(wanted, ["key", "doc"]).dropDuplicates(["key", "doc"]).select("rid", "row.text", "bands")
-        self.sets = scratch(one.mapInArrow(_sets, "rid bigint, shingles binary, bands array<bigint>"), "sets")
+        self.sets = scratch(one.mapInArrow(_sets, "rid bigint, shingles binary, bands array<bigint>, bytes bigint"), "sets")
+
+    def _across(self) -> DataFrame:
+        """Pairs (a, b) of texts with different homes that share a bucket and that Bayesian pruning leaves, each once.
+
+        Strays, the members of a bucket outside the home of most of it, meet all
+        members in pairs of blocks, and only what is left is written.
+        """
+        there = self.members.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n"))
+        sums = there.groupBy("bucket").agg(F.count(F.lit(1)).alias("homes"), F.sum("n").alias("all"), F.max(F.struct("n", "home")).alias("most"))
+        blocks = lambda n: F.ceil(n / BLOCK_TEXTS).cast("int")
+        sums = sums.where("homes > 1").select(
+            "bucket", F.col("most.home").alias("main"), blocks(F.col("all") - F.col("most.n")).alias("strays"), blocks(F.col("all")).alias("alls")
+        )
+        mixed = lookup(self.members, "bucket", "salt", scratch(sums, "mixed")).join(self.texts.select("rid", "bands"), "rid")
+
+        def dealt(stray: bool) -> DataFrame:
+            mine, others = ("strays", "alls") if stray else ("alls", "strays")
+            block = F.pmod(F.xxhash64("rid"), F.col(mine)).cast("int").alias("mine")
+            rows = mixed.where("home <> main") if stray else mixed
+            rows = rows.select("*", block, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other"))
+            low, high = ("mine", "other") if stray else ("other", "mine")
+            return rows.select(
+                F.col("bucket.band").alias("band"), F.col("bucket.value").alias("value"), F.col(low).alias("low"), F.col(high).alias("high"),
+                "rid", "home", "main", "bands", F.lit(stray).alias("stray"),
+            )
+
+        both = dealt(True).unionByName(dealt(False))
+        return both.groupBy("band", "value", "low", "high").applyInArrow(_compare_strays, "a bigint, b bigint")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that Bayesian pruning leaves and the full sets confirm."""
-        bands = self.texts.select("rid", "bands")
-        both = pairs.join(bands.select(F.col("rid").alias("a"), F.col("bands").alias("bands_a")), "a")
-        both = both.join(bands.select(F.col("rid").alias("b"), F.col("bands").alias("bands_b")), "b")
-        likely = both.select("a", "b", "bands_a", "bands_b").mapInArrow(_prune, "a bigint, b bigint")
-        full = scratch(likely, "likely")
-        full = full.join(self.sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a")), "a")
+        """Pairs (a, b) that the full sets confirm."""
+        full = pairs.join(self.sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a")), "a")
         full = full.join(self.sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b")), "b")
         return scratch(full.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
 
     def _link(self) -> None:
         """Links counted by text, and labels of the classes."""
-        sizes = scratch(self.homes.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        placed = self.homes.join(sizes, "home").select("rid", "home", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+        weights = self.homes.join(self.sets.select("rid", "bytes"), "rid")
+        sizes = weights.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+        sizes = scratch(sizes.where("n > 1").select("home", blocks.alias("blocks")), "sizes")
+        placed = self.homes.join(sizes, "home").select("rid", "home", "blocks")
         placed = placed.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
         meet = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         meet = meet.select("rid", "home", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         inside = meet.join(self.sets, "rid").groupBy("home", "low", "high").applyInArrow(_compare_blocks, "rid bigint, links bigint, edge bigint")
         inside = scratch(inside, "inside")
-        # members of a bucket outside the home of most of it meet all that have another home than they
-        there = self.members.groupBy("band", "value", "home").agg(F.count(F.lit(1)).alias("n"))
-        mixed = there.groupBy("band", "value").agg(F.count(F.lit(1)).alias("homes"), F.max(F.struct("n", "home")).alias("most"))
-        mixed = scratch(mixed.where("homes > 1").select("band", "value", F.col("most.home").alias("main")), "mixed")
-        left = self.members.join(mixed, ["band", "value"]).where("home <> main").select("band", "value", F.col("rid").alias("x"), F.col("home").alias("home_x"))
-        met = left.join(self.members.withColumnRenamed("rid", "y"), ["band", "value"]).where("home <> home_x")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        across = self._verified(scratch(pairs, "pairs"))
+        across = self._verified(scratch(self._across(), "across"))
         edges = inside.where("edge is not null").select(F.col("rid").alias("a"), F.col("edge").alias("b"))
         self.labels = components(edges.unionByName(across))
         ends = across.select(F.explode(F.array("a", "b")).alias("rid"), F.lit(1).cast("bigint").alias("links"))

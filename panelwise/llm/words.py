@@ -2,7 +2,8 @@
 
 Words are the runs of anything but ASCII white space in the lower-cased text.
 The hash of a word is a polynomial over its bytes, taken from prefix sums, so a
-slice costs a handful of numpy passes and no Python per word.
+slice costs a handful of numpy passes and no Python per word. Long texts are hashed
+in stretches of whole words, so the sums and powers stay short.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from panelwise.llm.common import strings
 
 SHINGLE_WORDS = 5
+STRETCH = 1 << 19
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -73,10 +75,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[1:] &= ~solid[:-1] | edge[1:n]
     last[:-1] &= ~solid[1:] | edge[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        # the words that end within a stretch, at least one
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
+        base, part = starts[at], raw[starts[at] : ends[to - 1]]
+        power, inverse = _tables(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        hashes[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * inverse[starts[at:to] - base]
+        at = to
     return mix(hashes ^ (ends - starts).astype(np.uint64)), ends - starts, np.searchsorted(starts, begins)
 
 
