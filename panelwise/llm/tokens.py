@@ -283,12 +283,39 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_range(blocks: DataFrame, start: int, count: int) -> np.ndarray:
-    """`count` ids from place `start` of the whole store: reads only the blocks that hold them."""
-    placed = blocks.join(F.broadcast(shard_starts(blocks)), "shard").withColumn("at", F.col("base") + F.col("first_id"))
-    wanted = placed.where((F.col("at") < start + count) & (F.col("at") + F.col("n_ids") > start)).orderBy("at")
+def block_index(blocks: DataFrame) -> DataFrame:
+    """Written index of a store: shard, block, at (place of its first id in the whole store), n_ids. A row a block of 65,536 ids.
+
+    Reads the blocks' numbers only, not their ids.
+    """
+    numbers = blocks.select("shard", "block", "first_id", "n_ids")
+    # one row a shard, and there are as many shards as tasks wrote the store
+    placed = numbers.join(F.broadcast(shard_starts(numbers)), "shard")
+    placed = placed.select("shard", "block", (F.col("base") + F.col("first_id")).alias("at"), "n_ids")
+    return scratch(placed.repartitionByRange("at").sortWithinPartitions("at"), "tokens-index")
+
+
+def blocks_of_range(blocks: DataFrame, index: DataFrame, start: int, count: int) -> DataFrame:
+    """The blocks that hold the ids, with `at`: looked up in the index, and named to the scan by shard and block.
+
+    Blocks of a shard lie one after the other, so a range names one stretch of blocks a shard.
+    """
+    wanted = index.where((F.col("at") < start + count) & (F.col("at") + F.col("n_ids") > start)).select("shard", "block", "at")
+    stretches = wanted.groupBy("shard").agg(F.min("block").alias("first"), F.max("block").alias("last")).collect()
+    named = F.lit(False)
+    for r in stretches:
+        named = named | (F.col("shard") == r["shard"]) & F.col("block").between(r["first"], r["last"])
+    return blocks.where(named).join(wanted, ["shard", "block"])
+
+
+def read_range(blocks: DataFrame, start: int, count: int, index: DataFrame | None = None) -> np.ndarray:
+    """`count` ids from place `start` of the whole store: reads only the blocks that hold them.
+
+    `index` is the store's written `block_index`; without it one is made.
+    """
+    index = block_index(blocks) if index is None else index
     parts = []
-    for r in wanted.select("at", "n_ids", "width", "packed").toLocalIterator():
-        a, b = max(start - r.at, 0), min(start + count - r.at, r.n_ids)
+    for r in blocks_of_range(blocks, index, start, count).orderBy("at").select("at", "n_ids", "width", "packed").toLocalIterator():
+        a, b = max(start - r["at"], 0), min(start + count - r["at"], r.n_ids)
         parts.append(unpack(r.packed, r.width, a, b - a))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
