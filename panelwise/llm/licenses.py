@@ -4,9 +4,12 @@ A paragraph (a line of a text) is the set of its words and word pairs. A
 multinomial logistic regression over the n-grams of known notices tells families
 apart, with a class of its own for everything else; it is trained on pieces of
 the templates and on a bounded sample of the corpus' own paragraphs. Its margin
-between the best family and the unknown class is calibrated on rows held back
-from training. A prediction is confirmed when enough of the paragraph, or of one
-of the family's templates, is shared between them.
+between the best family and the unknown class is calibrated on rows held back from
+training: each half of the templates of a family is judged by a model that has seen
+the other half only. A prediction is confirmed when enough of the paragraph, or of
+one of the family's templates, is shared between them. Lines of a wrapped notice are
+judged with the lines around them: one that shares enough of itself with a template
+is confirmed if the lines from 6 before to 6 after hold enough of that template.
 
 N-grams outside the model have weight 0, so the score of a paragraph is the sum
 over those it shares with the model: one join with a table of bounded size, after
@@ -20,10 +23,11 @@ of common words. Extra columns are not read. An empty table gives an empty resul
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwise.llm.common import col, scratch
@@ -34,8 +38,11 @@ SAMPLE_PARAGRAPHS = 3_000
 MOST_NGRAMS = 5_000
 COMMON_SHARE = 0.01
 HELD_BACK = 3
+FOLDS = 2
 CONFIRMED = 0.6
 OWN_SHARE = 0.6
+AROUND = 6
+WRAPPED_SHARE = 0.5
 
 # Notices of each family as they are commonly written.
 TEMPLATES = {
@@ -128,15 +135,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.where(F.length(F.trim("paragraph")) > 0)
 
 
-def _pieces() -> list[tuple[str, str]]:
-    """Training paragraphs of the families: templates, their halves, and templates between other words."""
+def _pieces() -> list[tuple[str, str, int]]:
+    """Training paragraphs of the families, with the fold of their template: templates, their halves, and templates
+    between other words. The templates of a family are dealt to the folds in turn."""
     out = []
     for family, texts in TEMPLATES.items():
-        for text in texts:
+        for i, text in enumerate(texts):
             w = text.split()
             cut = max(4, 2 * len(w) // 3)
-            out += [(family, text), (family, " ".join(w[:cut])), (family, " ".join(w[-cut:]))]
-            out += [(family, f"{a} {text} {b}") for a, b in itertools.product(("", "Notice:", "This document:"), ("", "See the file for more."))]
+            made = [text, " ".join(w[:cut]), " ".join(w[-cut:])]
+            made += [f"{a} {text} {b}" for a, b in itertools.product(("", "Notice:", "This document:"), ("", "See the file for more."))]
+            out += [(family, piece, i % FOLDS) for piece in made]
     return out
 
 
@@ -154,7 +163,7 @@ class Model:
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        known = spark.createDataFrame(_pieces(), "family string, paragraph string")
+        known = spark.createDataFrame(_pieces(), "family string, paragraph string, fold int")
         other = _sample(docs).unionByName(spark.createDataFrame([(p,) for p in PLAIN], "paragraph string"))
         other = _grams(other.select(F.lit(UNKNOWN).alias("family"), "paragraph"), "paragraph")
         known = _grams(known, "paragraph")
@@ -176,15 +185,20 @@ class Model:
         common = {r.gram for r in common.collect()}
         label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
         lexicon = sorted({g for _, gs in self.template_grams.values() for g in gs} - common)[:MOST_NGRAMS]
-        rows = known.unionByName(other).withColumn("label", label)
-        rows = rows.withColumn("held", F.pmod(F.xxhash64("paragraph"), F.lit(HELD_BACK)) == 0)
+        rows = known.unionByName(other, allowMissingColumns=True).withColumn("label", label)
+        # of the unknown class a third is held back; notices are held back by the fold of their template
+        place = F.pmod(F.xxhash64("paragraph"), F.lit(HELD_BACK * FOLDS))
+        rows = rows.withColumn("held", (F.col("label") == 0) & (place < FOLDS)).withColumn("fold", F.coalesce("fold", F.when(F.col("held"), place)))
         in_lexicon = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(
             spark.createDataFrame([(lexicon,)], "grams array<string>")
         )
-        rows = scratch(in_lexicon.transform(rows).select("label", "held", "features"), "training")
-        fitted = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.1, maxIter=60).fit(rows.where((F.col("label") > 0) | ~F.col("held")))
+        rows = scratch(in_lexicon.transform(rows).select("label", "held", "fold", "features"), "training")
+        learner = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.1, maxIter=60)
+        seen = rows.where(~F.col("held"))
+        fitted = learner.fit(seen)
         self.vocabulary, self.matrix, self.bias = self._weights(fitted, in_lexicon.vocabulary)
-        self.scale, self.shift = self._calibrate(fitted, rows)
+        apart = [(learner.fit(seen.where((F.col("label") == 0) | (F.col("fold") != f))), rows.where(F.col("fold") == f)) for f in range(FOLDS)]
+        self.scale, self.shift, self.held_back = self._calibrate(apart)
         self.lexicon = set(lexicon)
 
     @staticmethod
@@ -197,16 +211,29 @@ class Model:
         return list(vocabulary), [[float(x) for x in w[:, i]] for i in range(len(vocabulary))], [float(b) for b in fitted.interceptVector]
 
     @staticmethod
-    def _calibrate(fitted: LogisticRegressionModel, rows: DataFrame) -> tuple[float, float]:
-        """Scale and shift of the margin between the best family and the unknown class, from held-back rows."""
+    def _calibrate(apart: list[tuple[LogisticRegressionModel, DataFrame]]) -> tuple[float, float, dict[str, float]]:
+        """Scale and shift of the margin between the best family and the unknown class, from rows that each model has
+        not seen; and on them, the share of notices in their family and the share of others called unknown."""
         from pyspark.ml.functions import vector_to_array
 
         raw = vector_to_array("rawPrediction")
-        margin = F.array_max(F.slice(raw, 2, len(FAMILIES) - 1)) - raw[0]
-        held = fitted.transform(rows.where((F.col("label") > 0) | F.col("held"))).select(margin.alias("m"), (F.col("label") > 0).cast("double").alias("label"))
-        held = VectorAssembler(inputCols=["m"], outputCol="features").transform(held)
-        curve = LogisticRegression(regParam=1e-2, maxIter=50).fit(held.select("features", "label"))
-        return float(curve.coefficients[0]), float(curve.intercept)
+        best = F.array_max(F.slice(raw, 2, len(FAMILIES) - 1))
+        judged = [
+            model.transform(rows).select("label", (best - raw[0]).alias("m"), (raw[F.col("label").cast("int")] == best).alias("right"))
+            for model, rows in apart
+        ]
+        held = scratch(reduce(DataFrame.unionByName, judged), "held-back")
+        marked = held.withColumn("notice", (F.col("label") > 0).cast("double"))
+        marked = VectorAssembler(inputCols=["m"], outputCol="features").transform(marked)
+        curve = LogisticRegression(regParam=1e-2, maxIter=50, labelCol="notice").fit(marked.select("features", "notice"))
+        scale, shift = float(curve.coefficients[0]), float(curve.intercept)
+        called = (F.col("m") >= 0) & (F.col("m") * scale + shift >= 0)
+        notice = F.col("label") > 0
+        quality = held.agg(
+            F.avg(F.when(notice, (called & F.col("right")).cast("double"))).alias("notices"),
+            F.avg(F.when(~notice, (~called).cast("double"))).alias("others"),
+        ).first()
+        return scale, shift, quality.asDict()
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(gram, w, templates): at most MOST_NGRAMS rows."""
@@ -225,20 +252,39 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     sums = [F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(len(FAMILIES))]
     shared = [F.sum(F.array_contains("templates", t).cast("int")).alias(f"t{t}") for t in model.template_grams]
     scored = matched.groupBy("row", "doc_id", "place", "size").agg(*sums, *shared)
+    around = Window.partitionBy("row").orderBy("place").rangeBetween(-AROUND, AROUND)
+    near = [F.sum(f"t{t}").over(around).alias(f"n{t}") for t in model.template_grams]
+    scored = scored.select("*", *near)
     raw = [F.col(f"w{c}") + F.lit(b) for c, b in enumerate(model.bias)]
     best = F.greatest(*raw[1:])
     family = F.coalesce(*[F.when(r == best, F.lit(f)) for r, f in zip(raw[1:], FAMILIES[1:])])
     probability = 1 / (1 + F.exp(-(F.lit(model.scale) * (best - raw[0]) + F.lit(model.shift))))
-    placed = scored.withColumn("family", family).withColumn("probability", probability).where("probability >= 0.5")
+    # the family must win over the unknown class, and be likely as calibrated
+    known = (best >= raw[0]) & (probability >= 0.5)
     of_family: dict[str, list[Column]] = {}
+    # coverage and family of the wrapped templates that the line is part of; the fullest one counts
+    wrapped = []
     for t, (f, grams) in model.template_grams.items():
-        most = F.least(F.lit(len(grams & model.lexicon)), F.col("size"))
+        size = len(grams & model.lexicon)
+        most = F.least(F.lit(size), F.col("size"))
         of_family.setdefault(f, []).append(F.col(f"t{t}") / F.greatest(most, F.lit(1)))
-    similarity = F.coalesce(*[F.when(F.col("family") == f, F.greatest(*cs, F.lit(0.0))) for f, cs in of_family.items()])
-    return placed.select(
-        "doc_id", F.col("place").alias("paragraph"), "family", F.round("probability", 6).alias("probability"),
-        F.round(F.least(similarity, F.lit(1.0)), 6).alias("similarity"), (similarity >= CONFIRMED).alias("confirmed"),
-    )
+        part = (F.col(f"t{t}") >= WRAPPED_SHARE * F.col("size")) & (F.col(f"n{t}") >= CONFIRMED * size) & (F.col(f"n{t}") > F.col(f"t{t}"))
+        wrapped.append(F.when(part & F.lit(size > 0), F.struct((F.col(f"n{t}") / F.lit(max(size, 1))).alias("similarity"), F.lit(f).alias("family"))))
+    judged = scored.select("doc_id", "place", "size", *[f"t{t}" for t in model.template_grams], family.alias("own"), probability.alias("probability"), known.alias("known"), F.greatest(*wrapped).alias("wrapped"))
+    own = F.coalesce(*[F.when(F.col("own") == f, F.greatest(*cs, F.lit(0.0))) for f, cs in of_family.items()])
+    judged = judged.where(F.col("known") | F.col("wrapped").isNotNull()).withColumn("similarity", own)
+    # a line that is confirmed by itself keeps its family
+    alone = F.col("known") & (F.col("similarity") >= CONFIRMED)
+    by_lines = F.col("wrapped").isNotNull() & ~alone
+    similarity = F.when(by_lines, F.col("wrapped.similarity")).otherwise(F.col("similarity"))
+    return judged.select(
+        "doc_id",
+        F.col("place").alias("paragraph"),
+        F.when(by_lines, F.col("wrapped.family")).otherwise(F.col("own")).alias("family"),
+        F.round("probability", 6).alias("probability"),
+        F.round(F.least(similarity, F.lit(1.0)), 6).alias("similarity"),
+        (similarity >= CONFIRMED).alias("confirmed"),
+    )
 
 
 def license_notices(docs: DataFrame) -> DataFrame:
