@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,14 +199,21 @@ def assemble_master(files: dict[str, DataFrame], keys: list[str] = KEYS) -> Data
     return reduce(lambda a, b: join_left_suffixed(a, b, keys), parts)
 
 
-def longitudinal(files: dict[str, DataFrame], stage=lambda df: df) -> DataFrame:
+def longitudinal(files: dict[str, DataFrame], stage=lambda df: df, writes: bool = False) -> DataFrame:
     """The longitudinal panel without its empty columns.
 
     Which columns are empty is known only after the joins. `stage` may publish
     the joined rows so that the check and the result read them instead of
-    joining twice.
+    joining twice. If it is known to write them (`writes`), the values are
+    counted while they are written, and nothing is read for the check.
     """
-    return drop_null_columns(stage(assemble_master(files)))[0]
+    master = assemble_master(files)
+    if not writes:
+        return drop_null_columns(stage(master))[0]
+    seen = Observation()
+    stored = stage(master.observe(seen, *[F.count(F.col(f"`{c}`")).alias(c) for c in master.columns]))
+    counts = seen.get
+    return stored.drop(*[c for c in master.columns if counts[c] == 0])
 
 
 def quality_audit(master: DataFrame, class_columns: list[str]) -> DataFrame:

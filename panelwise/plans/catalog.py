@@ -928,7 +928,11 @@ def _(spark, sf):
     )
 
 
-@query("perturbed_requests_crc32")
+@query(
+    "perturbed_requests_crc32",
+    "SELECT school_id, academic_year, requested_classrooms, requested_teachers FROM requests_crc32",
+    "requests_crc32",
+)
 def _(spark, sf):
     return proposals.perturbed_requests(gaps.with_gaps(facts_of(spark, sf))).select(
         "school_id", "academic_year", "requested_classrooms", "requested_teachers"

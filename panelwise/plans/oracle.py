@@ -54,8 +54,17 @@ def fill(gap: str, running: str, cap: str) -> str:
     return f"CAST(least({gap}, greatest(0, {cap} - ({running} - {gap}))) AS INTEGER)"
 
 
-def noise(gap: str, salt: str) -> str:
-    h = f"(('0x' || substr(md5(concat(school_id, academic_year, '{salt}')), 1, 8))::BIGINT % 80)"
+def crc32(x: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: a byte is mixed in, then eight steps of the reflected polynomial."""
+    steps = ", ".join(["-1"] * 8)
+    bits = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: [ascii(({x})[i]), {steps}]))"
+    step = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce([4294967295] || {bits}, lambda c, b: {step}), 4294967295)"
+
+
+def noise(gap: str, salt: str, method: str = "md5") -> str:
+    text = f"concat(school_id, academic_year, '{salt}')"
+    h = f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % 80)" if method == "md5" else f"({crc32(text)} % 80)"
     return f"CAST(((CASE WHEN {gap} > 0 THEN {gap} ELSE 0 END) * (70 + {h}) + 50) // 100 AS INTEGER)"
 
 
@@ -248,6 +257,12 @@ CONF = (
     f"greatest(0.0::DOUBLE, 1.0::DOUBLE - (abs(1.0::DOUBLE - coalesce({C_RATIO}, 1.0))"
     f" + abs(1.0::DOUBLE - coalesce({T_RATIO}, 1.0))) / 2.0::DOUBLE)"
 )
+define(
+    "requests_crc32",
+    f"""SELECT *, {noise('classroom_gap', 'cr', 'crc32')} AS requested_classrooms,
+  {noise('teacher_gap', 'tr', 'crc32')} AS requested_teachers FROM gaps""",
+    "gaps",
+)
 define(
     "reasons",
     f"""SELECT *, CASE

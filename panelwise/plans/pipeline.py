@@ -7,7 +7,7 @@ Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelwise.operators import (
@@ -32,6 +32,7 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.seen: dict[str, dict] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -41,6 +42,13 @@ class Warehouse:
     ) -> DataFrame:
         return store.republish(df, self.path(name), by, cluster_by=cluster_by)
 
+    def put_seen(self, name: str, df: DataFrame, by: list[str] | None, **figures) -> DataFrame:
+        """Publish a table and keep figures of it, taken while it is written, in `seen`."""
+        figures_of = Observation()
+        out = self.put(name, df.observe(figures_of, *[c.alias(n) for n, c in figures.items()]), by)
+        self.seen[name] = figures_of.get
+        return out
+
     def get(self, name: str) -> DataFrame:
         return store.read_version(self.spark, self.path(name))
 
@@ -48,14 +56,26 @@ class Warehouse:
 def load_raw(house: Warehouse, raw_root: str, layout: str = raw.YEAR_FOLDERS) -> DataFrame:
     """Raw yearly files -> longitudinal panel -> four tables -> wide facts."""
     files = raw.read_all_years(house.spark, raw_root, layout=layout)
-    panel = house.put(
-        "longitudinal", assemble.longitudinal(files, lambda df: house.put("assembled", df, ["year"])), ["year"]
+    rows = F.count(F.lit(1))
+    panel = house.put_seen(
+        "longitudinal",
+        assemble.longitudinal(files, lambda df: house.put("assembled", df, ["year"]), writes=True),
+        ["year"],
+        rows=rows,
+        years=F.collect_set("year"),
     )
     by = {"schools": None, "yearly_metrics": YEAR, "infrastructure_details": YEAR, "teacher_metrics": YEAR}
-    tables = {name: house.put(name, df, by[name]) for name, df in normalise.split_panel(panel).items()}
+    tables = {name: house.put_seen(name, df, by[name], rows=rows) for name, df in normalise.split_panel(panel).items()}
     return house.put("facts", normalise.join_facts(tables), YEAR)
 
 
+def load_summary(house: Warehouse) -> DataFrame:
+    """One row: distinct schools, school-year rows, sorted years; from figures taken while `load_raw` wrote its tables."""
+    panel = house.seen["longitudinal"]
+    row = (house.seen["schools"]["rows"], panel["rows"], ",".join(sorted(panel["years"])))
+    return house.spark.createDataFrame([row], "total_schools bigint, school_year_rows bigint, academic_years string")
+
+
 def derive(house: Warehouse, facts: DataFrame, hash_method: str = "crc32") -> dict[str, DataFrame]:
     """Facts -> report, district index, validation and averaged forecast."""
 

@@ -40,10 +40,23 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def publish(
-    df: DataFrame, path: str, partition_by: list[str] | None = None, cluster_by: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    cluster_by: list[str] | None = None,
+    year: str | None = None,
 ) -> DataFrame:
-    """Write a table to a path of its own, once, and return it as read back."""
-    _laid_out(df, partition_by or [], cluster_by or []).parquet(path)
+    """Write a table to a path of its own, once, and return it as read back.
+
+    `year` replaces that year's partition in place, for tables that nobody reads
+    meanwhile; `republish` leaves the old rows to their readers.
+    """
+    if year is None:
+        _laid_out(df, partition_by or [], cluster_by or []).parquet(path)
+    else:
+        rows = df.where(F.col("academic_year") == year)
+        writer = _laid_out(rows, partition_by or [], cluster_by or []).mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
     return read_table(df.sparkSession, path, df.schema)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from panelwise.operators import assemble, normalise
 from panelwise.operators.allocation import Scenario
 from panelwise.operators.learned import BoostingSettings
 from panelwise.plans import pipeline, standin
@@ -34,7 +35,15 @@ def test_raw_folders_load(spark, tmp_path):
         (src / year).mkdir(parents=True)
         for kind, text in files.items():
             (src / year / f"{kind}.csv").write_text(text.replace("Block Name,Block", "Block Name,Ward"))
-    facts = pipeline.load_raw(pipeline.Warehouse(spark, str(tmp_path / "house")), str(src))
+    house = pipeline.Warehouse(spark, str(tmp_path / "house"))
+    facts = pipeline.load_raw(house, str(src))
+    # figures taken while writing: the same as by reading, without a job of their own
+    spark.sparkContext.setJobGroup("figures", "summary")
+    summary = pipeline.load_summary(house)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("figures") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert summary.collect() == normalise.load_summary(house.get("longitudinal")).collect()
+    assert house.get("longitudinal").columns == assemble.drop_null_columns(house.get("assembled"))[0].columns
     got = {(r.school_id, r.academic_year): (r.total_enrolment, r.total_teachers) for r in facts.collect()}
     assert got == {
         ("A", "2018-19"): (16, 7),

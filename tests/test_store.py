@@ -106,3 +106,9 @@ def test_one_value_opens_few_row_groups(spark, tmp_path):
         return node.metrics().apply("numOutputRows").value()
 
     assert read(plain) > 100_000 and 0 < read(table) < 12_000
+    spark.conf.set("parquet.block.size", str(1 << 16))
+    try:
+        versioned = store.republish(df, str(tmp_path / "v"), ["y"], cluster_by=["school_id"])
+    finally:
+        spark.conf.unset("parquet.block.size")
+    assert 0 < read(versioned) < 12_000
