@@ -25,7 +25,7 @@ from panelwise.sources.store import new_path
 
 CELL = 0.001
 QUANTILE = 0.9
-CUT = 20
+CUT = 5
 IN_BAG, OUT_OF_BAG, HELD_OUT = 0, 1, 2
 
 
