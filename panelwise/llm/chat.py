@@ -14,7 +14,9 @@ backslash out again.
 
 Null text counts as empty, null roles as the empty role, a null conversation id
 is a conversation. Turns are ordered by turn, null first, then role and text, so
-ties and repeated rows come out alike on every run. Extra columns are not read.
+ties and repeated rows come out alike on every run. A length of a recording that is
+no finite positive number counts as 0. A part of an unknown type ends the job with
+its name: leaving it out would change the conversation. Extra columns are not read.
 An empty table gives an empty result.
 """
 
@@ -90,7 +92,8 @@ class Flattener:
         self._attach("image", part, IMAGE_TOKENS + TILE_TOKENS * tiles)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS_A_SECOND))
+        seconds = part.get("seconds") or 0
+        self._attach("audio", part, math.ceil(seconds * AUDIO_TOKENS_A_SECOND) if 0 < seconds < math.inf else 0)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, PAGE_TOKENS * (part.get("pages") or 1))
