@@ -9,9 +9,10 @@ candidates chooses boundaries and types together; everything else is outside.
 
 Digit groups that stand without a blank between them are one unit, which is never
 cut, and a run is units with one or two blanks or signs between them. Candidates are
-all parts of a run of up to 8 units, and of a longer one each unit and, up to 19
-units (the digits of a card one by one), the whole run: more are a table of numbers.
-Local parts of more than 64 characters and addresses of more than 400 are no
+all parts of a run, however long it is, that hold as many digits as a phone or card
+may have; so a unit begins at most some tens of them. When spans are looked for, parts
+whose shape and sides cannot reach a score above 0, whatever the digits and the words
+before, are passed over: the dynamic program never takes such a segment. Local parts of more than 64 characters and addresses of more than 400 are no
 candidates. The weights are learned by maximising the conditional likelihood on
 seeded sentences that are made up by rule, as there are no labelled rows for it.
 
@@ -26,9 +27,10 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import merge
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +39,11 @@ from panelwise.llm.common import bounded, col, slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, LONGEST_LOCAL = 400, 64
-FEW_UNITS, MOST_UNITS = 8, 19
+FEW_UNITS, MOST_SHAPES = 8, 200_000  # units of a short run in training, bounds of shapes known at a time
 SENTENCES, EPOCHS, RATE, DECAY = 2000, 6, 0.3, 1e-3
 Span = tuple[int, int, int]  # kind, start, end
 Candidate = tuple[int, int, int, bool]  # start, end, kind, whether it is a whole run
+Weights = dict[str, float]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,7 +107,7 @@ def merged(spans: list[Span]) -> list[tuple[int, int]]:
 
 # --- candidate segments
 
-LEAST_DIGITS, MOST_DIGITS = 7, 20
+LEAST_DIGITS, MOST_DIGITS, WORD_SPAN = 7, 20, 16
 _AT, _DOT = r"\s?[(\[{]\s?at\s?[)\]}]\s?", r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)"
 _QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|\s?[(\[]dot[)\]]\s?)[0-9]{1,3}){3}(?![0-9])", re.I)
 _NUMBERS = re.compile(r"(?:\+\(|\+|\()?[0-9]++(?:[ ()./-]{1,3}+[0-9]++)*+\)?")
@@ -114,6 +117,8 @@ _PHONE_SHAPE = re.compile(r"(?:\+|00)?\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,14}")
 _AT_SIGN = re.compile(_AT, re.I)
 _DOMAIN_PART = re.compile(rf"([A-Za-z0-9-]+)({_DOT}(?=[A-Za-z0-9-]))?", re.I)
 _MORE = re.compile(_DOT + "[A-Za-z0-9-]", re.I)
+_ALIKE = str.maketrans("123456789", "000000000")
+_OF_DIGITS = (" date", " book", " zero", " luhn", " same")
 _WORDS = re.compile(r"(tel|phone|call|fon|mobil|fax|card|visa|karte|carte|tarjeta|mail|host|server|ip|isbn|version|order|page)\w*\W{0,3}$", re.I)
 
 
@@ -160,38 +165,86 @@ def features(text: str, candidate: Candidate) -> list[str]:
         out += [f"luhn {luhn(digits)} {16 <= len(digits) <= 19}", f"same {len(set(digits)) == 1}"]
     if kind == 3:
         out += [f"paren {'(' in span and ')' in span}", f"open {span.count('(') - span.count(')')}"]
-    word = _WORDS.search(text, max(0, start - 16), start)
+    word = _WORDS.search(text, max(0, start - WORD_SPAN), start)
     out.append(f"word {word.group(1).lower() if word else '-'}")
     return [f"{KINDS[kind]} {f}" for f in out]
 
 
-def _number_candidates(text: str, low: int, high: int) -> Iterator[Candidate]:
-    """Parts of the runs of digit groups in a gap."""
+@lru_cache(MOST_SHAPES)
+def _shapes(part: str) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, kind) of what a part of a run may be, from its shape: digits stand as zeros."""
+    end = len(part.rstrip(" ()./-"))
+    start = len(part) - len(part.lstrip(" )./-"))
+    if not LEAST_DIGITS <= part.count("0", start, end) <= MOST_DIGITS:
+        return ()
+    first = start + (part[start] == "(")
+    card = ((first, end, 2),) if _CARD_SHAPE.fullmatch(part, first, end) else ()
+    return (*card, (start, end, 3)) if _PHONE_SHAPE.fullmatch(part, start, end) else card
+
+
+class Hopeful:
+    """Which shapes may score above 0 under some weights, whatever the digits are.
+
+    Features that the shape and its sides fix count as they are, others with the
+    greatest weight that they can have.
+    """
+
+    def __init__(self, weights: Weights):
+        self.weights = weights
+        self.most: dict[str, float] = {}
+        for f, w in weights.items():
+            name = " ".join(f.split(" ", 2)[:2])
+            self.most[name] = max(w, self.most.get(name, 0.0))
+        self.inside: dict[str, tuple[tuple[int, int, int], ...]] = {}
+
+    def shapes(self, sketch: str, start: int, end: int, whole: bool, inside: bool) -> tuple[tuple[int, int, int], ...]:
+        """The shapes of sketch[start:end] that may score above 0. `inside`: no word stands close before it."""
+        out = []
+        for x, y, kind in _shapes(sketch[start:end]):
+            score = 0.0
+            for f in features(sketch, (start + x, start + y, kind, whole)):
+                name = " ".join(f.split(" ", 2)[:2])
+                free = name.endswith(_OF_DIGITS) or name.endswith(" word") and not inside
+                score += self.most.get(name, 0.0) if free else self.weights.get(f, 0.0)
+            if score > -1e-6:
+                out.append((x, y, kind))
+        if inside and not whole:
+            if len(self.inside) >= MOST_SHAPES:
+                self.inside.clear()
+            self.inside[sketch] = tuple(out)
+        return tuple(out)
+
+
+def _number_candidates(text: str, low: int, high: int, hopeful: Hopeful | None = None) -> Iterator[Candidate]:
+    """Parts of the runs of digit groups in a gap, without those that `hopeful` rules out."""
+    known = hopeful.inside if hopeful else {}
     for run in _NUMBERS.finditer(text, low, high):
         a, b = run.span()
         if b - a < LEAST_DIGITS:
             continue
         units = [m.span() for m in _UNIT.finditer(text, a, b)] if text.find(" ", a, b) >= 0 else [(a, b)]
         n = len(units)
-        if n <= FEW_UNITS:
-            parts = [(i, j) for i in range(n) for j in range(i, n)]
-        else:
-            parts = [(0, n - 1)] if n <= MOST_UNITS else []
-            parts += [(i, i) for i, (x, y) in enumerate(units) if y - x >= LEAST_DIGITS]
-        for i, j in parts:
-            x, y = units[i][0], units[j][1]
-            if y - x < LEAST_DIGITS:
-                continue
-            span = text[x:y]
-            y -= len(span) - len(span.rstrip(" ()./-"))
-            x += len(span) - len(span.lstrip(" )./-"))
-            whole = i == 0 and j == n - 1
-            if LEAST_DIGITS <= sum(c.isdigit() for c in text[x:y]) <= MOST_DIGITS:
-                first = x + (text[x] == "(")
-                if _CARD_SHAPE.fullmatch(text, first, y):
-                    yield first, y, 2, whole
-                if _PHONE_SHAPE.fullmatch(text, x, y):
-                    yield x, y, 3, whole
+        # the run and a character on both sides, digits alike
+        edge = max(a - 1, 0)
+        sketch = text[edge : b + 1].translate(_ALIKE)
+        reached = [0, *accumulate(sketch.count("0", x - edge, y - edge) for x, y in units)]
+        nearest = 0
+        for i, (x, _) in enumerate(units):
+            while nearest < n and reached[nearest + 1] - reached[i] < LEAST_DIGITS:
+                nearest += 1
+            left, inside = max(x - 1, edge), x - a >= WORD_SPAN
+            for j in range(nearest, n):
+                if reached[j + 1] - reached[i] > MOST_DIGITS:
+                    break
+                y, whole = units[j][1], i == 0 and j == n - 1
+                part = sketch[left - edge : y - edge + 1]
+                shapes = known.get(part) if inside else None
+                if shapes is None:
+                    shapes = hopeful.shapes(part, x - left, y - left, whole, inside) if hopeful else _shapes(part[x - left : y - left])
+                for start, end, kind in shapes:
+                    # two zeros ahead of a phone number are no digits of it, two other digits are
+                    if kind == 2 or _PHONE_SHAPE.fullmatch(text, x + start, x + end):
+                        yield x + start, x + end, kind, whole
 
 
 def _address_candidates(text: str, low: int, high: int) -> Iterator[Candidate]:
@@ -214,10 +267,16 @@ def _address_candidates(text: str, low: int, high: int) -> Iterator[Candidate]:
         yield from ((i, j, 0, False) for i in starts for j in ends)
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[list[Candidate]]:
-    """Clusters of overlapping candidates in the gaps between base spans, in order."""
-    for low, high in zip([0, *(b for _, b in taken)], [*(a for a, _ in taken), len(text)]):
-        kinds = [_number_candidates(text, low, high)]
+def _gaps(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    return zip([0, *(b for _, b in taken)], [*(a for a, _ in taken), len(text)])
+
+
+def candidates(
+    text: str, taken: list[tuple[int, int]], hopeful: Hopeful | None = None, chosen: Callable[[Candidate], bool] | None = None
+) -> Iterator[list[Candidate]]:
+    """Clusters of overlapping candidates in the gaps between base spans, in order; of all, or of chosen ones."""
+    for low, high in _gaps(text, taken):
+        kinds = [_number_candidates(text, low, high, hopeful)]
         if _AT_SIGN.search(text, low, high):
             kinds.append(_address_candidates(text, low, high))
         if "[" in text or "(" in text or "." in text:
@@ -225,7 +284,7 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[list[Candida
         found = merge(*kinds) if len(kinds) > 1 else kinds[0]
         cluster: list[Candidate] = []
         end = 0
-        for candidate in found:
+        for candidate in filter(chosen, found) if chosen else found:
             if cluster and candidate[0] >= end:
                 yield cluster
                 cluster = []
@@ -237,8 +296,6 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[list[Candida
 
 # --- the model
 
-Weights = dict[str, float]
-
 
 def _lattice(text: str, cluster: list[Candidate]) -> tuple[list[int], dict[int, list]]:
     """Bounds of the candidates, and the candidates by the bound they end at: (first bound, kind, features)."""
@@ -401,6 +458,29 @@ def sentence(r: random.Random) -> tuple[str, list[Span]]:
     return lead + thing + tail, span
 
 
+def _example(text: str, taken: list[tuple[int, int]]) -> Callable[[Candidate], bool]:
+    """Which candidates of a made-up sentence the weights are learned from.
+
+    All but the inner parts of long runs: hundreds of them from one table would
+    outweigh the sentences with a few numbers.
+    """
+    inner = []
+    for low, high in _gaps(text, taken):
+        for run in _NUMBERS.finditer(text, low, high):
+            units = [m.span() for m in _UNIT.finditer(text, *run.span())]
+            if len(units) > FEW_UNITS:
+                inner.append((*run.span(), units))
+
+    def chosen(candidate: Candidate) -> bool:
+        start, end, kind, whole = candidate
+        for a, b, units in inner:
+            if kind > 1 and a <= start and end <= b:
+                return whole and len(units) < MOST_DIGITS or any(x <= start and end <= y for x, y in units)
+        return True
+
+    return chosen
+
+
 @lru_cache(1)
 def train(seed: int = 1) -> tuple[tuple[str, float], ...]:
     """Weights that maximise the conditional likelihood of made-up sentences (adaptive gradient steps)."""
@@ -409,7 +489,7 @@ def train(seed: int = 1) -> tuple[tuple[str, float], ...]:
     for _ in range(SENTENCES):
         text, gold = sentence(r)
         base = merged(base_spans(text))
-        for cluster in candidates(text, base):
+        for cluster in candidates(text, base, chosen=_example(text, base)):
             data.append((*_lattice(text, cluster), set(gold)))
     weights: Weights = {}
     squares: dict[str, float] = {}
@@ -423,11 +503,11 @@ def train(seed: int = 1) -> tuple[tuple[str, float], ...]:
     return tuple(sorted((f, round(w, 6)) for f, w in weights.items()))
 
 
-def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
-    """Base spans, and the spans that the model adds."""
+def find(text: str, weights: Weights, hopeful: Hopeful | None = None) -> tuple[list[Span], list[Span]]:
+    """Base spans, and the spans that the model adds. `hopeful` keeps what it knows of shapes from text to text."""
     base = base_spans(text)
     taken = merged(base)
-    added = [s for cluster in candidates(text, taken) for s in decode(weights, text, cluster)]
+    added = [s for cluster in candidates(text, taken, hopeful or Hopeful(weights)) for s in decode(weights, text, cluster)]
     return base, added
 
 
@@ -437,11 +517,12 @@ def notation(spans: list[Span]) -> str:
 
 def _run(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hopeful = Hopeful(weights)
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), strings(part.column("text")).to_pylist()):
-                    base, added = find(text, weights)
+                    base, added = find(text, weights, hopeful)
                     counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
                     digest = hashlib.sha256(notation(base).encode()).hexdigest()
                     rows.append((doc, *counts, digest, notation(base + added), len(added)))

@@ -87,6 +87,42 @@ def test_time_is_linear_in_number_texts(weights):
         assert time.perf_counter() - begun < 12
 
 
+def every_part(text):
+    """All cards and phones by shape among the parts of the runs, by trying every pair of units."""
+    out = set()
+    for run in pii._NUMBERS.finditer(text):
+        units = [m.span() for m in pii._UNIT.finditer(text, *run.span())]
+        for i in range(len(units)):
+            for j in range(i, len(units)):
+                part = text[units[i][0] : units[j][1]]
+                y = units[j][1] - len(part) + len(part.rstrip(" ()./-"))
+                x = units[i][0] + len(part) - len(part.lstrip(" )./-"))
+                if 7 <= sum(c.isdigit() for c in text[x:y]) <= 20:
+                    first = x + (text[x] == "(")
+                    out |= {(first, y, 2)} if pii._CARD_SHAPE.fullmatch(text, first, y) else set()
+                    out |= {(x, y, 3)} if pii._PHONE_SHAPE.fullmatch(text, x, y) else set()
+    return out
+
+
+def test_long_runs_lose_no_part(weights):
+    """Runs of more than 8 and of more than 19 units; what is passed over when looking for spans is never chosen."""
+    r = random.Random(3)
+    parts = ["1", "12", "345", "6789", "0171", "4111", "1234567", "(089)", "-", "2021"]
+    hopeful = pii.Hopeful(weights)
+    for n in [9, 12, 20, 40] * 15:
+        text = "x " + " ".join(r.choice(parts) for _ in range(n)) + r.choice(["", " y"])
+        clusters = list(pii.candidates(text, []))
+        assert {c[:3] for cluster in clusters for c in cluster if c[2] in (2, 3)} == every_part(text)
+        whole = [s for cluster in clusters for s in pii.decode(weights, text, cluster)]
+        assert [s for cluster in pii.candidates(text, [], hopeful) for s in pii.decode(weights, text, cluster)] == whole
+
+
+def test_card_and_phone_behind_a_long_table(weights):
+    table = "12 15 18 21 24 27 30 33 36 39 42 45 "
+    for number in ("4111  1111  1111  1111", "(089) 7654321"):
+        assert number in found(weights, table + number)
+
+
 def test_spans_do_not_overlap(weights):
     r = random.Random(8)
     parts = ["12", "345", "6789", "0171", " ", "  ", "-", ".", "(", ")", "/", "+", "(at)", " [dot] ", "ab", "@", "[.]", "x y", "4111", "2021"]
