@@ -1,5 +1,7 @@
 """Boosting with Huber loss against numpy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -96,3 +98,33 @@ def test_first_tree_has_the_leaf_values_of_its_rows(rows):
         middle = np.median(inside)
         want = middle + np.clip(inside - middle, -one.deltas[0], one.deltas[0]).mean()
         assert value - one.start == pytest.approx(want, abs=boosting.CELL)
+
+
+def test_first_tree_splits_as_mllib_does(rows):
+    one = boosting.fit_huber(rows, NAMES, "y", BoostingSettings(rounds=1, depth=3, step=1.0, sample=1.0, min_leaf=20))
+    off, delta = F.col("y") - F.lit(one.start), F.lit(one.deltas[0])
+    fitted = rows.where("NOT held_out").withColumn("g", F.greatest(-delta, F.least(delta, off)))
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="g", maxDepth=3, minInstancesPerNode=20).fit(fitted)
+    theirs = boosting.tree_sql(tree.toDebugString, NAMES, [0.0] * boosting._leaves(tree))
+    splits = [re.findall(r"`(\w)` <= (\S+)D", text) for text in (one.trees[0], theirs)]
+    assert splits[0] == splits[1] and len(splits[0]) > 3
+    assert one.featureImportances.toArray() == pytest.approx(tree.featureImportances.toArray(), abs=1e-3)
+
+
+def test_draws_are_those_of_sql(spark):
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 200)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    for number in (0, 7, 499):
+        want = [r[0] for r in df.select(F.pmod(F.xxhash64("k", F.lit(number)), F.lit(1000))).collect()]
+        assert boosting.draws(keys.view(np.uint64), number).tolist() == want
+
+
+def test_rows_are_kept_small_and_their_layout_does_not_matter(spark, rows, monkeypatch, tmp_path):
+    """What is kept and written of a row is bounded by bytes; trees are the same however the rows lie."""
+    monkeypatch.setattr(boosting, "new_path", lambda spark, name: f"{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(boosting, "LEAST", 500)
+    settings = BoostingSettings(rounds=6, depth=3, step=0.2, min_leaf=20)
+    first, second = (boosting.fit_huber(rows.repartition(n, "_key"), NAMES, "y", settings) for n in (1, 7))
+    assert first.trees == second.trees and first.losses == second.losses
+    written = [sum(len(r[c]) for r in spark.read.parquet(str(p)).collect() for c in ("bins", "hash", "held", "off")) for p in tmp_path.iterdir()]
+    assert written == [3000 * (3 + 8 + 1 + 8)] * 2
