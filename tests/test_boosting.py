@@ -126,5 +126,14 @@ def test_rows_are_kept_small_and_their_layout_does_not_matter(spark, rows, monke
     settings = BoostingSettings(rounds=6, depth=3, step=0.2, min_leaf=20)
     first, second = (boosting.fit_huber(rows.repartition(n, "_key"), NAMES, "y", settings) for n in (1, 7))
     assert first.trees == second.trees and first.losses == second.losses
-    written = [sum(len(r[c]) for r in spark.read.parquet(str(p)).collect() for c in ("bins", "hash", "held", "off")) for p in tmp_path.iterdir()]
-    assert written == [3000 * (3 + 8 + 1 + 8)] * 2
+    written = [sum(len(r[c]) for r in spark.read.parquet(str(p)).collect() for c in ("codes", "hash", "held", "off")) for p in tmp_path.iterdir()]
+    assert written == [3000 * (3 * 2 + 8 + 1 + 8)] * 2
+
+
+def test_bounds_from_a_sample_agree_with_the_model(rows, monkeypatch):
+    """Codes taken from part of the rows: what the trees leave of the target is what their SQL leaves."""
+    monkeypatch.setattr(boosting, "SPLIT_ROWS", 500)
+    model = boosting.fit_huber(rows, NAMES, "y", BoostingSettings(rounds=6, depth=3, step=0.3, min_leaf=20))
+    p = rows.where("held_out").withColumn("p", model.prediction()).toPandas()
+    assert model.misses[-1] == pytest.approx(np.abs(p["y"] - p["p"]).mean(), abs=boosting.CELL)
+    assert model.misses[-1] < 0.7 * model.misses[0]
