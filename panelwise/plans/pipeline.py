@@ -85,7 +85,7 @@ def derive(house: Warehouse, facts: DataFrame, hash_method: str = "crc32") -> di
     scored = stage("scored", reporting.scored(facts))
     report = stage(
         "report",
-        reporting.report(facts, lambda name, df: scored if name == "scored" else stage(name, df)),
+        reporting.report(facts, stage),
         ["school_id"],
     )
     judged = proposals.perturbed_requests(scored, hash_method).transform(proposals.judge_batch)

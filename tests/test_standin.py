@@ -116,3 +116,17 @@ def test_tables_of_dealt_rows_are_written_without_another_exchange(spark, tmp_pa
     out = store.publish(rows, f"{tmp_path}/t", ["academic_year"], as_dealt=True)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
     assert len(list(tmp_path.glob("t/*/part-*.parquet"))) == 6
+
+
+def test_flags_and_scores_share_the_exchange_of_the_facts(spark, sf):
+    """Rows go to their schools once before the ranks; the scores are not written and dealt out again for the flags."""
+    from panelwise.plans import report
+
+    seen = {}
+
+    def stage(name, df):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    report.report(standin.facts(spark, sf), stage)
+    assert seen["flagged"].count("Exchange") == 1 and "scored" not in seen
