@@ -130,3 +130,15 @@ def test_flags_and_scores_share_the_exchange_of_the_facts(spark, sf):
 
     report.report(standin.facts(spark, sf), stage)
     assert seen["flagged"].count("Exchange") == 1 and "scored" not in seen
+
+
+def test_yearly_tables_of_the_queries_are_written_by_the_tasks_of_their_windows(spark, tmp_path, monkeypatch):
+    from panelwise.plans import catalog
+
+    rows = spark.range(0, 60, 1, 2).select((F.col("id") % 3).cast("string").alias("academic_year"), "id")
+    monkeypatch.setattr(standin, "new_path", lambda _, name: f"{tmp_path}/{name}")
+    try:
+        assert catalog.by_year(spark, str(tmp_path), "t", lambda: rows).count() == 60
+    finally:
+        standin.forget(str(tmp_path))
+    assert len(list(tmp_path.glob("t/*/part-*.parquet"))) == 6
